@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shirabe.llm.similar_vectors import similar_vectors
+from shirabe.llm.split_items import boundaries, split_items
 from shirabe.session import table
 
 
@@ -18,5 +19,13 @@ def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "chunk_vectors"), "chunk_id", "embedding", "embedded_at")
 
 
-QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundaries(table(spark, sf_dir, "chunks"), "id", "text").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_items(table(spark, sf_dir, "chunks"), "id", "text")
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_nearest": p2_nearest}
 SQL: dict[str, str] = {}
