@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shirabe.llm.pack_containers import CAPACITY, pack_containers, token_rows
 from shirabe.llm.similar_vectors import similar_vectors
 from shirabe.llm.split_items import boundaries, split_items
 from shirabe.session import table
@@ -27,5 +28,15 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(table(spark, sf_dir, "chunks"), "id", "text")
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_nearest": p2_nearest}
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_containers(token_rows(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: (containers, tokens, least_possible, fill)."""
+    packed = p6_containers(spark, sf_dir).agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    return packed.select("containers", "tokens", F.ceil(F.col("tokens") / CAPACITY).alias("least_possible"), F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6).alias("fill"))
+
+
+QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_nearest": p2_nearest}
 SQL: dict[str, str] = {}
