@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shirabe.llm.pack_containers import CAPACITY, pack_containers, token_rows
+from shirabe.llm.reading_level import reading_levels
 from shirabe.llm.similar_vectors import similar_vectors
 from shirabe.llm.split_items import boundaries, split_items
 from shirabe.session import table
@@ -38,5 +39,9 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("containers", "tokens", F.ceil(F.col("tokens") / CAPACITY).alias("least_possible"), F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6).alias("fill"))
 
 
-QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_nearest": p2_nearest}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "reading_level").distinct()
+
+
+QUERIES = {"p8_found": p8_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_nearest": p2_nearest}
 SQL: dict[str, str] = {}
