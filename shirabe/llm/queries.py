@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shirabe.llm.leaked_items import leaked_items
 from shirabe.llm.pack_containers import CAPACITY, pack_containers, token_rows
 from shirabe.llm.reading_level import reading_levels
 from shirabe.llm.similar_vectors import similar_vectors
@@ -43,5 +44,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "reading_level").distinct()
 
 
-QUERIES = {"p8_found": p8_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_nearest": p2_nearest}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage").distinct()
+
+
+QUERIES = {"p7_found": p7_found, "p8_found": p8_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_nearest": p2_nearest}
 SQL: dict[str, str] = {}
