@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shirabe.llm.leaked_items import leaked_items
+from shirabe.llm.main_body import main_lines
 from shirabe.llm.pack_containers import CAPACITY, pack_containers, token_rows
 from shirabe.llm.reading_level import reading_levels
 from shirabe.llm.similar_vectors import similar_vectors
@@ -48,5 +49,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage").distinct()
 
 
-QUERIES = {"p7_found": p7_found, "p8_found": p8_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_nearest": p2_nearest}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = main_lines(table(spark, sf_dir, "page_files"), "filepath", "body", table(spark, sf_dir, "crawl_log"), "filepath", "status")
+    return lines.distinct().select("filepath", F.explode("lines").alias("line_no"))
+
+
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_found": p8_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_nearest": p2_nearest}
 SQL: dict[str, str] = {}
