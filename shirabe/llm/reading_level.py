@@ -10,6 +10,7 @@ is the count table and the sample's features, both bounded by parameters.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -72,17 +73,16 @@ def profile(text: str) -> tuple[bool, np.ndarray, list[str], list[str]]:
     words = _JA_WORD.findall(plain) if ja else latin
     graded = words + _KANA_RUN.findall(plain) if ja else _LOWER.findall(plain)
     n = max(1, len(words))
-    lengths = np.fromiter(map(len, words), float, len(words)) if words else np.zeros(1)
+    sizes = list(map(len, words)) or [0]
+    mean = sum(sizes) / len(sizes)
     sentences = max(1, len(_END.findall(plain)), plain.count("\n") // 12)
     chars = max(1, len(plain) - plain.count(" ") - plain.count("\n"))
     block = [
-        np.log(n / sentences + 1),
-        np.log(chars / sentences + 1),
-        lengths.mean(),
-        lengths.std(),
-        (lengths >= (4 if ja else 7)).mean(),
-        (lengths >= (5 if ja else 10)).mean(),
-        (lengths >= (6 if ja else 13)).mean(),
+        math.log(n / sentences + 1),
+        math.log(chars / sentences + 1),
+        mean,
+        (max(0.0, sum(s * s for s in sizes) / len(sizes) - mean * mean)) ** 0.5,
+        *(sum(s >= least for s in sizes) / len(sizes) for least in ((4, 5, 6) if ja else (7, 10, 13))),
         len(set(words)) / n**0.75,
         len(set(words[:80])) / max(1, min(80, n)),
         (plain.count("、") if ja else plain.count(",") + plain.count(";")) / sentences,
@@ -116,8 +116,15 @@ def slots_of(words: list[str]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+_QUANTILES = np.array([0.05, 0.25, 0.5, 0.75, 0.95])
+
+
 def _spread(v: np.ndarray) -> list[float]:
-    return [v.mean(), v.std(), *np.quantile(v, [0.05, 0.25, 0.5, 0.75, 0.95])]
+    """Mean, deviation and nearest-rank quantiles."""
+    v = np.sort(v)
+    n = len(v)
+    mean = v.sum() / n
+    return [mean, np.sqrt(max(0.0, (v * v).sum() / n - mean * mean)), *v[((n - 1) * _QUANTILES + 0.5).astype(int)].tolist()]
 
 
 FORM, SPREAD = 20, 7
