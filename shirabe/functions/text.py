@@ -49,13 +49,13 @@ def slices(text: Column, size: int, step: int | None = None) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """A byte count as B, KB, MB or GB with one decimal."""
+    """A byte count as B, KB, MB or GB with one decimal (halves to even)."""
     f = n.cast("double")
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.format_string("%.1f KB", f / 1024))
-        .when(n < 1024**3, F.format_string("%.1f MB", f / 1024**2))
-        .otherwise(F.format_string("%.1f GB", f / 1024**3))
+        .when(n < 1024**2, F.format_string("%.1f KB", F.bround(f / 1024, 1)))
+        .when(n < 1024**3, F.format_string("%.1f MB", F.bround(f / 1024**2, 1)))
+        .otherwise(F.format_string("%.1f GB", F.bround(f / 1024**3, 1)))
     )
 
 
