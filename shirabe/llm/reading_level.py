@@ -57,6 +57,14 @@ def _cells(row: re.Match[str]) -> str:
     return "\n".join(c if c[-1] in ".!?。！？♪" else c + "." for c in cells if c.count(" ") >= 2 or _HIRAGANA.search(c))
 
 
+def table_share(text: str) -> float:
+    """The share of the lines with text that are table rows."""
+    if "|" not in text:
+        return 0.0
+    lines = [line for line in text.split("\n") if line.strip()]
+    return sum(line.lstrip()[:1] == "|" for line in lines) / max(1, len(lines))
+
+
 def prose_of(text: str) -> str:
     """The text without code blocks, and of tables only the cells that hold sentences."""
     text = _FENCE.sub(" ", text)
@@ -64,7 +72,7 @@ def prose_of(text: str) -> str:
 
 
 def profile(text: str) -> tuple[bool, np.ndarray, list[str], list[str]]:
-    """(mainly Japanese, form features, words for rarity, words for calibrated difficulty) of one text."""
+    """(mainly Japanese, form features (the last: the share of table rows), words for rarity, words for calibrated difficulty) of one text."""
     plain = prose_of(text)
     low = plain.lower()
     latin = _LATIN.findall(low)
@@ -97,6 +105,7 @@ def profile(text: str) -> tuple[bool, np.ndarray, list[str], list[str]]:
         counts = [len(p.findall(low)) for p in _CONNECT_EN]
         block += [c / sentences for c in counts]
         block += [sum(counts[2:]) / n, counts[0] / n]
+    block.append(table_share(text))
     return ja, np.array(block), words, graded
 
 
@@ -132,11 +141,14 @@ HALF = FORM + 2 * SPREAD
 
 
 def vector(ja: bool, form: np.ndarray, rare: np.ndarray, graded: np.ndarray) -> np.ndarray:
-    """The feature vector: the script, then one block for each script, of which one is in use."""
-    out = np.zeros(1 + 2 * HALF)
-    block = [*form, *_spread(rare if len(rare) else np.zeros(1)), *_spread(graded if len(graded) else np.full(1, 3.0))]
+    """The feature vector: the script, one block for each script, of which one is in use, and how tables shift the scale (their sentences are simpler than the document)."""
+    out = np.zeros(1 + 2 * HALF + 6)
+    spread = _spread(graded if len(graded) else np.full(1, 3.0))
+    block = [*form[:FORM], *_spread(rare if len(rare) else np.zeros(1)), *spread]
     out[0] = 1.0 if ja else -1.0
     out[1 + ja * HALF : 1 + (ja + 1) * HALF] = block
+    share, mean, full = form[FORM], spread[0], float(form[FORM] > 0.5)
+    out[1 + 2 * HALF :] = share, share * mean, full, full * mean, full * ja, full * ja * mean
     return out
 
 

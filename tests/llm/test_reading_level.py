@@ -62,4 +62,4 @@ def test_ordinal_orders_levels():
 @pytest.mark.parametrize("text", ["", "a", "あ", "|", "```\ncode"])
 def test_profile_shapes(text):
     ja, form, rare, graded = profile(text)
-    assert vector(ja, form, np.zeros(0), np.zeros(0)).shape == (1 + 2 * HALF,)
+    assert vector(ja, form, np.zeros(0), np.zeros(0)).shape == (1 + 2 * HALF + 6,)
