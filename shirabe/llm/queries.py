@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shirabe.llm.leaked_items import leaked_items
 from shirabe.llm.main_body import main_lines
-from shirabe.llm.pack_containers import CAPACITY, pack_containers, token_rows
+from shirabe.llm.pack_containers import pack_containers, token_rows
 from shirabe.llm.reading_level import reading_levels
 from shirabe.llm.similar_vectors import similar_vectors
 from shirabe.llm.split_items import boundaries, split_items
@@ -35,24 +35,5 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_containers(token_rows(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers are: (containers, tokens, least_possible, fill)."""
-    packed = p6_containers(spark, sf_dir).agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
-    return packed.select("containers", "tokens", F.ceil(F.col("tokens") / CAPACITY).alias("least_possible"), F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6).alias("fill"))
-
-
-def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "reading_level").distinct()
-
-
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage").distinct()
-
-
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = main_lines(table(spark, sf_dir, "page_files"), "filepath", "body", table(spark, sf_dir, "crawl_log"), "filepath", "status")
-    return lines.distinct().select("filepath", F.explode("lines").alias("line_no"))
-
-
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_found": p8_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_nearest": p2_nearest}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_nearest": p2_nearest, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
