@@ -89,7 +89,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pack_containers(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (doc_id, piece, n_tokens, ...) with ``container``: none holds more than ``capacity`` tokens, and no item is divided.
 
-    Ties are broken by (doc_id, piece) inside a segment, so equal input gives equal containers. Sizes must lie in 1..capacity;
+    Ties are broken by (doc_id, piece) inside a segment, so equal input gives equal containers. Internal columns begin with ``__pack_``. Sizes must lie in 1..capacity;
     others (null among them) have a null container. An empty table gives an empty table.
     """
     spark = items.sparkSession
@@ -97,10 +97,10 @@ def pack_containers(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     size = F.col("n_tokens")
     small = F.floor(F.lit(capacity) / F.floor(F.lit(capacity) / F.greatest(size, F.lit(1)))).cast("int")
     klass = F.when(size.between(1, capacity), F.when(size * FINE > capacity, size.cast("int")).otherwise(small))
-    tagged = items.withColumns({"_class": klass, "_segment": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(segments)).cast("int")})
-    counts = tagged.filter(F.col("_class").isNotNull()).groupBy("_class", "_segment").count()
+    tagged = items.withColumns({"__pack_class": klass, "__pack_segment": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(segments)).cast("int")})
+    counts = tagged.filter(F.col("__pack_class").isNotNull()).groupBy("__pack_class", "__pack_segment").count()
     # at most capacity classes, each one number: bounded by a parameter
-    histogram = {r["_class"]: r["n"] for r in counts.groupBy("_class").agg(F.sum("count").alias("n")).collect()}
+    histogram = {r["__pack_class"]: r["n"] for r in counts.groupBy("__pack_class").agg(F.sum("count").alias("n")).collect()}
     runs = list(_runs(plan(histogram, capacity)))
     if not runs:
         return items.withColumn("container", F.lit(None).cast("bigint"))
@@ -108,19 +108,19 @@ def pack_containers(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for c, first_item, each, first_container, _ in runs:
         by_class.setdefault(c, []).append((first_item, each, first_container, 0))
     table = spark.createDataFrame(
-        [(c, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for c, v in by_class.items()], "_class int, _first array<bigint>, _each array<bigint>, _container array<bigint>"
+        [(c, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for c, v in by_class.items()], "__pack_class int, __pack_first array<bigint>, __pack_each array<bigint>, __pack_container array<bigint>"
     )
-    before = Window.partitionBy("_class").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_class", "_segment", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    spots = offsets.join(F.broadcast(table), "_class")  # one row for each class: at most capacity rows
-    inside = Window.partitionBy("_class", "_segment").orderBy("doc_id", "piece")
-    ranked = tagged.withColumn("_row", F.row_number().over(inside) - 1).join(spots, ["_class", "_segment"], "left")
-    rank = F.col("_offset") + F.col("_row")
+    before = Window.partitionBy("__pack_class").orderBy("__pack_segment").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pack_class", "__pack_segment", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__pack_offset"))
+    spots = offsets.join(F.broadcast(table), "__pack_class")  # one row for each class: at most capacity rows
+    inside = Window.partitionBy("__pack_class", "__pack_segment").orderBy("doc_id", "piece")
+    ranked = tagged.withColumn("__pack_row", F.row_number().over(inside) - 1).join(spots, ["__pack_class", "__pack_segment"], "left")
+    rank = F.col("__pack_offset") + F.col("__pack_row")
     # the last run of the class that starts at or before the rank: the runs are in order of their first item
-    run = F.size(F.filter("_first", lambda f: f <= rank)) - 1
-    ranked = ranked.withColumns({"_rank": rank, "_run": run})
-    container = F.get("_container", F.col("_run")) + F.floor((F.col("_rank") - F.get("_first", F.col("_run"))) / F.get("_each", F.col("_run")))
-    return ranked.select(*items.columns, F.when(F.col("_class").isNotNull(), container).cast("bigint").alias("container"))
+    run = F.size(F.filter("__pack_first", lambda f: f <= rank)) - 1
+    ranked = ranked.withColumns({"__pack_rank": rank, "__pack_run": run})
+    container = F.get("__pack_container", F.col("__pack_run")) + F.floor((F.col("__pack_rank") - F.get("__pack_first", F.col("__pack_run"))) / F.get("__pack_each", F.col("__pack_run")))
+    return ranked.select(*items.columns, F.when(F.col("__pack_class").isNotNull(), container).cast("bigint").alias("container"))
 
 
 def _runs(patterns: list[tuple[int, dict[int, int]]]) -> Iterator[tuple[int, int, int, int, int]]:

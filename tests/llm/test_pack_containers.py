@@ -19,6 +19,7 @@ def test_valid_and_tight(spark, seed, n, top):
     rnd = random.Random(seed)
     sizes = [rnd.randint(1, top) for _ in range(n)]
     rows = packed(spark, sizes)
+    assert {r["_row"] for r in rows} == {"x"}
     load = Counter()
     for r in rows:
         load[r["container"]] += r["n_tokens"]
