@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shirabe.functions.text import tokens
+from shirabe.session import spread
 
 K1, B = 2.5, 0.5
 
@@ -19,7 +20,7 @@ def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = Non
 
     Restricting to the terms asked for happens before the counts are shuffled, so the exchange carries matching postings only.
     """
-    cut = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("_t")).select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    cut = spread(docs.select(key, text)).select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("_t")).select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
     if terms is not None:
         cut = cut.join(terms, "term", "left_semi")
     return cut.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shirabe.session import spread
+
 _BLANK_LINES = re.compile(r"\n\s*\n")
 _SENTENCE_END = re.compile(r"(?<=[。.!?])\s*")
 _RULE = re.compile(r"\|?[\s\-:|]+\|[\s\-:|]+\|?")
@@ -287,4 +289,4 @@ def explode_rows(df: DataFrame, key: str, text: str, cut: Callable[[str], list[t
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(position, pa.int32()), *(pa.array(list(c), t) for c, t in zip(columns_, types))], names=[key, "position", *names]
             )
 
-    return df.select(key, text).filter(F.col(text).isNotNull()).mapInArrow(run, schema)
+    return spread(df.select(key, text)).filter(F.col(text).isNotNull()).mapInArrow(run, schema)

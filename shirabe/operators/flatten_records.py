@@ -15,9 +15,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shirabe.session import spread
+
 _TOKEN = re.compile(r'[ \t\r\n]*(?:("[^"\\]*(?:\\.[^"\\]*)*")|([\[\]{},:])|(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null))', re.DOTALL)
 _END = re.compile(r"[ \t\r\n]*\Z")
 EMPTY = object()
@@ -181,7 +183,7 @@ def flatten_records(df: DataFrame, key: str, payload: str, repeated: Iterable[st
                 names=[key, "path", "ords", "cells"],
             )
 
-    return df.select(key, payload).mapInArrow(run, SCHEMA.format(key=f"`{key}`", key_type=key_type))
+    return spread(df.select(key, payload)).mapInArrow(run, SCHEMA.format(key=f"`{key}`", key_type=key_type))
 
 
 # --- the tables of a microblog feed -------------------------------------------------------------------------------------------
@@ -215,8 +217,6 @@ def feed_children(df: DataFrame, key: str = "record_id", payload: str = "payload
     child_pos counts the objects of one kind within one side (record or view) of a post; what both sides hold has the same position
     and falls together. The only shuffle is over these narrow rows, by record; numbering and distinct both reuse it.
     """
-    from pyspark.sql import Window
-
     tail, cells = F.col("tail"), F.col("cells")
     holder = r"^(?:(?:record|value)\.embed|embed|embeds\[\])(?:\.media)?"
     kind_of = F.element_at(cells, F.lit("$type"))

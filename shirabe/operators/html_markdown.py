@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shirabe.session import spread
+
 #: Elements without content, elements that are never content, and ids and classes that tell the content area.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(("script", "style", "noscript", "form", "template", "svg", "head"))
@@ -199,4 +201,4 @@ def html_to_markdown(df: DataFrame, key: str, html: str, rules: Mapping[str, Map
                 texts.append(convert(h, rule.get("content", ()), rule.get("remove", ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["ok" if t else "skipped" for t in texts]), pa.array(texts)], names=[key, "status", "text"])
 
-    return df.select(F.col(key), F.col(html)).mapInArrow(run, f"`{key}` {kind}, status string, text string")
+    return spread(df.select(F.col(key), F.col(html))).mapInArrow(run, f"`{key}` {kind}, status string, text string")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shirabe.functions.instants import components, with_instant, zone_names
+from shirabe.session import spread
 
 
 def normalise_times(df: DataFrame, key: str, fields: Sequence[str], default_zone: Column, tab: str) -> DataFrame:
@@ -17,7 +18,8 @@ def normalise_times(df: DataFrame, key: str, fields: Sequence[str], default_zone
     give repeated results; an empty table gives none; further columns are not read. Narrow: no shuffle, and one pass over the rows.
     """
     zones = zone_names(df.sparkSession)
-    values = df.select(F.col(key), default_zone.alias("_zone"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("_v"))
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))
+    values = spread(df.select(F.col(key), default_zone.alias("_zone"), pairs.alias("_pairs"))).select(key, "_zone", F.explode("_pairs").alias("_v"))
     # explode over a compacted one-value array drops nulls without repeating the expression, as a filter pushed below would
     parsed = values.select(key, "_zone", F.col("_v.field").alias("field"), F.explode(F.array_compact(F.array(components(F.col("_v.value"))))).alias("_parts"))
     out = with_instant(parsed, "_parts", "_zone", "_us", zones)
