@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shirabe.llm.split_items import natural_boundaries
+from shirabe.session import spread
 
 ITEMS_MOST = 20_000
 #: Window lengths in tokens (Latin, Japanese), samples of one hash, walks.
@@ -376,7 +377,7 @@ def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_ke
     key_type, item_type = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     rows = items.select(F.col(item_key).alias("i"), F.col(passage).alias("p")).filter(F.length("p") > 0)
     blocks = max(1, -(-rows.count() // ITEMS_MOST))
-    source = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    source = spread(docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))).filter(F.length("_text") > 0)
     out = None
     for n in range(blocks):
         block = rows.filter(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == n).orderBy("i", "p").collect()

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shirabe.session import spread
+
 _SILENT = re.compile(r"<(script|style|title)\b[^>]*>.*?(?:</\1>|$)", re.DOTALL)
 _TAG = re.compile(r"</?[a-zA-Z!][^>]*>")
 _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)(?:</a>|$)")
@@ -280,6 +282,6 @@ def main_lines(pages: DataFrame, key: str, body: str, log: DataFrame, log_key: s
                     lines.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lines, pa.list_(pa.int64()))], names=[key, "lines"])
 
-    found = pages.select(key, body).filter(F.length(body) > 0).mapInArrow(run, f"`{key}` {key_type}, lines array<bigint>")
+    found = spread(pages.select(key, body)).filter(F.length(body) > 0).mapInArrow(run, f"`{key}` {key_type}, lines array<bigint>")
     failed = log.filter(F.col(log_key).isNotNull()).groupBy(F.col(log_key).alias(key)).agg(F.max(F.coalesce(F.col(status) == 200, F.lit(False))).alias("_fine")).filter(~F.col("_fine"))
     return found.join(failed.select(key), key, "left_anti")

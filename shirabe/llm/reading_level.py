@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shirabe.session import spread
+
 LEAST_CHARS, LEVELS = 300, 5
 #: Slots of the word-count table, and rated documents that the model is fitted on at most.
 SLOTS, RATED_MOST = 1 << 16, 8000
@@ -210,7 +212,7 @@ def word_counts(df: DataFrame, text: str) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["slot", "n"])
 
-    sums = df.select(text).filter(F.col(text).isNotNull()).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    sums = spread(df.select(text)).filter(F.col(text).isNotNull()).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.int64)
     out[sums["slot"].to_numpy()] = sums["n"].to_numpy()
     return out
@@ -267,7 +269,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, key: str, text: str, leve
     rarity = -np.log((counts + 1) / (counts.sum() + SLOTS))
     fitted = fit_levels(docs, labels, key, text, level, rarity)
     key_type = docs.schema[key].dataType.simpleString()
-    long = docs.select(key, text).filter(F.char_length(text) >= LEAST_CHARS)
+    long = spread(docs.select(key, text)).filter(F.char_length(text) >= LEAST_CHARS)
     if fitted is None:
         return long.select(key, F.lit(None).cast("bigint").alias("reading_level"))
     model, hard = fitted

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shirabe.session import spread
+
 LIMIT, OVERLAP, LEAST = 731, 30, 240
 #: Window of the rolling hash in characters, and the mean distance of its landmarks.
 WINDOW, SPACING = 32, 128
@@ -210,7 +212,7 @@ def boundaries(df: DataFrame, key: str, text: str, limit: int = LIMIT) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64())], names=["chunk_id", "cut_at"])
 
     key_type = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text)).filter(F.char_length(text) > limit).mapInArrow(run, f"chunk_id {key_type}, cut_at bigint")
+    return spread(df.select(F.col(key), F.col(text))).filter(F.char_length(text) > limit).mapInArrow(run, f"chunk_id {key_type}, cut_at bigint")
 
 
 def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
@@ -241,7 +243,7 @@ def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
 
     key_type = df.schema[key].dataType.simpleString()
     named = df.select(F.col(key).alias("chunk_id"), F.col(text).alias("text"))
-    long = named.filter(F.char_length("text") > limit).mapInArrow(run, f"chunk_id {key_type}, piece bigint, start_at bigint, end_at bigint, text string")
+    long = spread(named).filter(F.char_length("text") > limit).mapInArrow(run, f"chunk_id {key_type}, piece bigint, start_at bigint, end_at bigint, text string")
     zero = F.lit(0).cast("bigint")
     short = named.filter(F.char_length("text") <= limit).select("chunk_id", zero.alias("piece"), zero.alias("start_at"), F.char_length("text").cast("bigint").alias("end_at"), "text")
     return short.unionByName(long)
