@@ -31,14 +31,15 @@ class HashedEmbedding:
         return out.astype(np.float32)
 
 
-def embed(df: DataFrame, key: str, text: str, provider: Provider, prefix: str = "", batch: int = 256) -> DataFrame:
-    """(key, embedding) of the non-blank texts, each with ``prefix`` before it; ``provider`` sees at most ``batch`` texts at once."""
-    kind = df.schema[key].dataType.simpleString()
+def embed(df: DataFrame, key: str, text: str, provider: Provider, prefix: str = "", batch: int = 256, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, *carry, embedding) of the non-blank texts, each with ``prefix`` before it; ``provider`` sees at most ``batch`` texts at once."""
+    kept = [key, *carry]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", embedding array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [prefix + t for t in b.column(1).to_pylist()]
+            texts = [prefix + t for t in b.column(len(kept)).to_pylist()]
             vectors = [v for i in range(0, len(texts), batch) for v in np.asarray(provider(texts[i : i + batch]), np.float32).tolist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=[key, "embedding"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(vectors, pa.list_(pa.float32()))], names=[*kept, "embedding"])
 
-    return df.select(key, text).filter(F.trim(F.coalesce(text, F.lit(""))) != "").mapInArrow(run, f"`{key}` {kind}, embedding array<float>")
+    return df.select(*kept, text).filter(F.trim(F.coalesce(text, F.lit(""))) != "").mapInArrow(run, schema)

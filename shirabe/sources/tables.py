@@ -6,6 +6,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def file_system(spark: SparkSession, path: str):  # type: ignore[no-untyped-def]
+    """Hadoop's file system of ``path`` and its Path class."""
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return kind(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), kind
+
+
+class SegmentedTable:
+    """Rows of ``owner`` that are replaced together, kept as one segment for each batch; reading takes each owner's newest segment.
+
+    A batch writes its own rows and the list of owners that it touches, nothing else; writing it again overwrites its own segment, so
+    a repeated batch changes nothing. ``compact`` merges the segments into a new generation; readers see the newest finished one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, owner: str = "source_id"):
+        self.spark, self.path, self.owner = spark, path.rstrip("/"), owner
+
+    def _generation(self) -> int:
+        fs, path = file_system(self.spark, self.path)
+        if not fs.exists(path(self.path)):
+            return 0
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
+        return max([int(n[1:]) for n in names if n.startswith("g") and n[1:].isdigit() and fs.exists(path(f"{self.path}/{n}/_done"))], default=0)
+
+    def write_batch(self, number: int, rows: DataFrame, touched: DataFrame, generation: int | None = None) -> None:
+        """Segment ``number``: ``rows``, which replace all that the owners in ``touched`` had. The owners come last and make it count."""
+        base = f"{self.path}/g{self._generation() if generation is None else generation}"
+        rows.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        touched.select(self.owner).distinct().write.mode("overwrite").parquet(f"{base}/owners/batch={number}")
+
+    def read(self) -> DataFrame | None:
+        base = f"{self.path}/g{self._generation()}"
+        fs, path = file_system(self.spark, self.path)
+        if not fs.exists(path(f"{base}/owners")):
+            return None
+        newest = self.spark.read.parquet(f"{base}/owners").groupBy(self.owner).agg(F.max("batch").alias("batch"))
+        return self.spark.read.parquet(f"{base}/rows").join(newest, [self.owner, "batch"]).drop("batch")
+
+    def compact(self, number: int) -> None:
+        """All that counts now, as segment ``number`` of the next generation; older generations go."""
+        now, old = self.read(), self._generation()
+        if now is None:
+            return
+        self.write_batch(number, now, now, old + 1)
+        fs, path = file_system(self.spark, self.path)
+        fs.create(path(f"{self.path}/g{old + 1}/_done")).close()
+        fs.delete(path(f"{self.path}/g{old}"), True)
+
+
 class VersionedTable:
     """Readers see the version that the pointer names; a write that fails leaves it where it was.
 
@@ -16,9 +64,7 @@ class VersionedTable:
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
 
     def _fs(self):  # type: ignore[no-untyped-def]
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        return file_system(self.spark, self.path)
 
     def versions(self) -> list[int]:
         """Versions whose write was finished, in order."""

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shirabe.functions.embedding import HashedEmbedding, Provider, embed
 from shirabe.operators.chunkers import explode_rows, routed_chunks
-from shirabe.sources.tables import VersionedTable
+from shirabe.sources.tables import SegmentedTable
 
 SOURCE_SCHEMA = "source_id string, source_type string, title string, status string, updated_at string, text string"
 
@@ -20,24 +20,17 @@ def chunk_rows(sources: DataFrame, size: int = 200, overlap: int = 30, table_siz
     return cut.select(chunk_id.alias("chunk_id"), "source_id", F.col("position").cast("bigint").alias("chunk_index"), "kind", "section_path", F.col("content").alias("text"))
 
 
-def apply_batch(batch: DataFrame, chunks: VersionedTable, vectors: VersionedTable, provider: Provider) -> None:
-    """One batch of changed sources: of each the newest row counts; its old chunks go, the new ones come in; a deleted source only goes.
+def apply_batch(batch: DataFrame, number: int, chunks: SegmentedTable, vectors: SegmentedTable, provider: Provider) -> None:
+    """One batch of changed sources: of each the newest row counts and replaces the source's chunks and vectors; a deleted or empty source keeps none.
 
-    Applying a batch again changes nothing, so a restarted stream may repeat its last one.
+    Only the batch's own rows are written. Applying a batch again changes nothing, so a restarted stream may repeat its last one.
     """
     names = [c for c in batch.columns if c != "source_id"]
     newest = batch.groupBy("source_id").agg(F.max_by(F.struct(*names), "updated_at").alias("r")).select("source_id", "r.*")
     live = newest.filter(F.coalesce(F.col("status") != "deleted", F.lit(True)) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
     fresh = chunk_rows(live)
-    made = embed(fresh, "chunk_id", "text", provider, prefix="search_document: ")
-    old_chunks, old_vectors = chunks.read(), vectors.read()
-    if old_chunks is not None:
-        stale = old_chunks.join(newest.select("source_id"), "source_id", "left_semi").select("chunk_id")
-        kept_vectors = old_vectors.join(stale, "chunk_id", "left_anti")
-        made = kept_vectors.unionByName(made)
-        fresh = old_chunks.join(newest.select("source_id"), "source_id", "left_anti").select(fresh.columns).unionByName(fresh)
-    vectors.write(made)
-    chunks.write(fresh)
+    vectors.write_batch(number, embed(fresh, "chunk_id", "text", provider, prefix="search_document: ", carry=("source_id",)), newest)
+    chunks.write_batch(number, fresh, newest)
 
 
 def ingest(spark: SparkSession, incoming: str, chunks_path: str, vectors_path: str, checkpoint: str, provider: Provider | None = None, available_now: bool = True) -> StreamingQuery:
@@ -45,8 +38,8 @@ def ingest(spark: SparkSession, incoming: str, chunks_path: str, vectors_path: s
 
     The checkpoint is the log of what was processed; the three paths must be shared by all executors.
     """
-    chunks, vectors = VersionedTable(spark, chunks_path), VersionedTable(spark, vectors_path)
+    chunks, vectors = SegmentedTable(spark, chunks_path), SegmentedTable(spark, vectors_path)
     provider = provider or HashedEmbedding()
     rows = spark.readStream.schema(SOURCE_SCHEMA).json(incoming)
-    writer = rows.writeStream.foreachBatch(lambda df, n: apply_batch(df, chunks, vectors, provider)).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(lambda df, n: apply_batch(df, n, chunks, vectors, provider)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

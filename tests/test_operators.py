@@ -16,7 +16,7 @@ from shirabe.operators import changes, chunkers, evaluate, fusion, html_markdown
 from shirabe.operators.bm25 import bm25_topk
 from shirabe.operators.exact_knn import knn_topk
 from shirabe.sources import files
-from shirabe.sources.tables import VersionedTable
+from shirabe.sources.tables import SegmentedTable, VersionedTable
 from shirabe.streaming.ingest import ingest
 
 
@@ -224,10 +224,17 @@ def test_stream(spark, tmp_path):
         (inbox / name).write_text("\n".join(json.dumps(dict(zip(("source_id", "status", "updated_at", "text"), r))) for r in rows))
         q = ingest(spark, str(inbox), at["chunks"], at["vectors"], at["log"], HashedEmbedding(8))
         q.awaitTermination(120)
-        chunks = VersionedTable(spark, at["chunks"]).read().collect()
-        assert {r["chunk_id"] for r in chunks} == {r["chunk_id"] for r in VersionedTable(spark, at["vectors"]).read().collect()}
+        chunks = SegmentedTable(spark, at["chunks"]).read().collect()
+        assert {r["chunk_id"] for r in chunks} == {r["chunk_id"] for r in SegmentedTable(spark, at["vectors"]).read().collect()}
         return {(r["source_id"], r["text"]) for r in chunks}
 
     assert send("1.json", ("a", "active", "1", "old text"), ("b", "active", "1", "kept")) == {("a", "old text"), ("b", "kept")}
     assert send("2.json", ("a", "active", "2", "new text"), ("c", "active", "2", "")) == {("a", "new text"), ("b", "kept")}
     assert send("3.json", ("b", "deleted", "3", "kept"), ("a", "active", "3", "newer"), ("a", "active", "1", "late")) == {("a", "newer")}
+    table = SegmentedTable(spark, at["chunks"])
+    table.compact(9)
+    assert {(r["source_id"], r["text"]) for r in table.read().collect()} == {("a", "newer")}
+    again = spark.createDataFrame([("x", "x_0", 0)], "source_id string, chunk_id string, chunk_index long")
+    for _ in range(2):  # a repeated batch changes nothing
+        table.write_batch(10, again, again)
+        assert {r["source_id"] for r in table.read().select("source_id").collect()} == {"a", "x"}
