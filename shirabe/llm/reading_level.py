@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,10 @@ _FENCE = re.compile(r"^(?:```|~~~)[\s\S]*?(?:^(?:```|~~~)[ \t\r]*$|\Z)", re.MULT
 _LATIN = re.compile(r"[a-z]+(?:[-'’][a-z]+)*")
 _JA_WORD = re.compile(r"[一-鿿々]+|[ァ-ヺー]+")
 _LOWER = re.compile(r"(?<![A-Za-z])[a-z]+(?:-[a-z]+)*")
-_KANA_RUN = re.compile(r"[ぁ-ゖ]{2,}")
+_KANA_RUN = re.compile(r"[ぁ-ゖ]+")
 _ROW = re.compile(r"^[ \t]*\|[^\n]*", re.MULTILINE)
 _END = re.compile(r"[.!?。！？♪…]+(?=[\s」』）)\"”’]|$|[^\x00-\x7f])")
-_KANJI, _KATAKANA, _HIRAGANA = re.compile(r"[一-鿿々]"), re.compile(r"[ァ-ヺー]"), re.compile(r"[ぁ-ゖ]")
+_HIRAGANA = re.compile(r"[ぁ-ゖ]")
 
 #: Connectives by how demanding they are.
 CONNECTIVES_EN = (
@@ -48,9 +49,7 @@ CONNECTIVES_JA = (
     ("および", "を踏まえ", "に関して", "を通じて", "に基づき", "ため、", "により", "による", "に伴い", "ものの"),
     ("ならびに", "もしくは", "ないし", "がゆえに", "に鑑み", "を媒介", "限り", "とすれば", "において", "得ない", "得る", "解され", "ざるを", "捨象", "にとどまる", "際して", "ひいては", "すなわち", "ゆえん"),
 )
-_CONNECT_EN = [re.compile(r"\b(?:" + "|".join(g) + r")\b") for g in CONNECTIVES_EN]
-_CONNECT_JA = [re.compile("|".join(g)) for g in CONNECTIVES_JA]
-_LATINATE = ("tion", "sion", "ment", "ance", "ence", "ical", "ised", "ized", "able", "ible", "logy", "eous", "aphy", "tive")
+_LATINATE = ("tion ", "sion ", "ment ", "ance ", "ence ", "ical ", "ised ", "ized ", "able ", "ible ", "logy ", "eous ", "aphy ", "tive ")
 
 
 def _cells(row: re.Match[str]) -> str:
@@ -78,53 +77,59 @@ def profile(text: str) -> tuple[bool, np.ndarray, list[str], list[str]]:
     plain = prose_of(text)
     low = plain.lower()
     latin = _LATIN.findall(low)
-    hiragana = len(_HIRAGANA.findall(plain))
-    ja = 2 * hiragana > sum(map(len, latin))
+    kana = _KANA_RUN.findall(plain)
+    hiragana = len("".join(kana))
+    ja = 2 * hiragana > len("".join(latin))
     words = _JA_WORD.findall(plain) if ja else latin
-    graded = words + _KANA_RUN.findall(plain) if ja else _LOWER.findall(plain)
+    graded = words + [k for k in kana if len(k) > 1] if ja else _LOWER.findall(plain)
     n = max(1, len(words))
-    sizes = list(map(len, words)) or [0]
-    mean = sum(sizes) / len(sizes)
+    kinds = Counter(words)
+    sizes = np.array(list(map(len, words)) or [0])
+    mean = sizes.sum() / len(sizes)
     sentences = max(1, len(_END.findall(plain)), plain.count("\n") // 12)
     chars = max(1, len(plain) - plain.count(" ") - plain.count("\n"))
     block = [
         math.log(n / sentences + 1),
         math.log(chars / sentences + 1),
         mean,
-        (max(0.0, sum(s * s for s in sizes) / len(sizes) - mean * mean)) ** 0.5,
-        *(sum(s >= least for s in sizes) / len(sizes) for least in ((4, 5, 6) if ja else (7, 10, 13))),
-        len(set(words)) / n**0.75,
+        max(0.0, (sizes * sizes).sum() / len(sizes) - mean * mean) ** 0.5,
+        *(np.count_nonzero(sizes >= least) / len(sizes) for least in ((4, 5, 6) if ja else (7, 10, 13))),
+        len(kinds) / n**0.75,
         len(set(words[:80])) / max(1, min(80, n)),
         (plain.count("、") if ja else plain.count(",") + plain.count(";")) / sentences,
     ]
     if ja:
-        kanji, katakana = len(_KANJI.findall(plain)), len(_KATAKANA.findall(plain))
+        kanji = len("".join([w for w in words if w[0] > "ヺ"]))
+        katakana = int(sizes.sum()) - kanji
         block += [kanji / chars, katakana / chars, hiragana / chars, kanji / max(1, kanji + hiragana)]
-        block += [len(p.findall(plain)) / sentences for p in _CONNECT_JA]
+        block += [sum(map(plain.count, group)) / sentences for group in CONNECTIVES_JA]
         block += [plain.count("の") / sentences, plain.count("的") / n]
     else:
-        block += [sum(w.endswith(_LATINATE) for w in words) / n, sum(len(w) <= 3 for w in words) / n, low.count("-") / n, sum(w.endswith("ed") for w in words) / n]
-        counts = [len(p.findall(low)) for p in _CONNECT_EN]
+        row = " ".join(words) + " "
+        block += [sum(map(row.count, _LATINATE)) / n, np.count_nonzero((sizes <= 3) & (sizes > 0)) / n, low.count("-") / n, row.count("ed ") / n]
+        counts = [sum(map(kinds.__getitem__, group)) for group in CONNECTIVES_EN]
         block += [c / sentences for c in counts]
         block += [sum(counts[2:]) / n, counts[0] / n]
     block.append(table_share(text))
     return ja, np.array(block), words, graded
 
 
-_slots: dict[str, int] = {}
+class _Slots(dict):
+    """word -> slot, computed once in a worker."""
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % SLOTS
+        return k
+
+
+_slots = _Slots()
 
 
 def slots_of(words: list[str]) -> np.ndarray:
     """The count-table slot of each word; the cache of a worker is emptied when it grows large."""
     if len(_slots) > 200_000:
         _slots.clear()
-    out = []
-    for w in words:
-        k = _slots.get(w)
-        if k is None:
-            k = _slots[w] = zlib.crc32(w.encode("utf-8", "replace")) % SLOTS
-        out.append(k)
-    return np.array(out, np.int64)
+    return np.array(list(map(_slots.__getitem__, words)), np.int64)
 
 
 _QUANTILES = np.array([0.05, 0.25, 0.5, 0.75, 0.95])
@@ -207,7 +212,7 @@ def word_counts(df: DataFrame, text: str) -> np.ndarray:
             for t in batch.column(0).to_pylist():
                 plain = prose_of(t)
                 latin = _LATIN.findall(plain.lower())
-                ja = 2 * len(_HIRAGANA.findall(plain)) > sum(map(len, latin))
+                ja = 2 * len("".join(_KANA_RUN.findall(plain))) > len("".join(latin))
                 total += np.bincount(slots_of(_JA_WORD.findall(plain) if ja else latin), minlength=SLOTS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["slot", "n"])
