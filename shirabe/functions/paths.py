@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 #: Source types, in the order of the catalogue; and the characters that paths may not hold, with their full-width stand-ins.
 SOURCE_TYPES = ("web", "local", "journal", "zenn", "bluesky", "youtube", "aozora")
 HALF, FULL = ':?*<>|"', "：？＊＜＞｜＂"
-#: Endings of pages that need no ``.html`` of their own.
-PAGE_ENDINGS = ("html", "htm", "php", "asp", "aspx", "jsp", "xhtml", "md", "txt", "json", "xml", "pdf")
+#: Endings that name a web page, and those that a converter knows besides.
+PAGE_ENDINGS = ("html", "htm", "xhtml", "shtml", "php", "asp", "aspx", "jsp")
+CONVERTED_ENDINGS = ("pdf", "json", "md", "txt", "adoc")
 
 URL = r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -44,6 +45,11 @@ def url_to_filename(url: Column) -> Column:
     return F.when(path == "", "index.html").when(path.rlike(r"(?i)\.(" + "|".join(PAGE_ENDINGS) + ")$"), path).otherwise(F.concat(path, F.lit(".html")))
 
 
+def needs_html_ending(url: Column) -> Column:
+    """Whether the page of a URL is kept with ``.html`` added: its path has no ending that a page or a converter knows."""
+    return ~url_part(url, 3).rlike(r"(?i)\.(" + "|".join(PAGE_ENDINGS + CONVERTED_ENDINGS) + ")$")
+
+
 def without_fragment(url: Column) -> Column:
     return F.substring_index(url, "#", 1)
 

@@ -60,10 +60,13 @@ def size_text(n: Column) -> Column:
 
 
 def elapsed_text(seconds: Column) -> Column:
-    """Whole seconds as s, min and s, or h, min and s."""
-    s = F.floor(seconds).cast("bigint")
-    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
-    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %ds", m, r)).otherwise(F.format_string("%dh %dm %ds", h, m, r))
+    """A duration in seconds, minutes and seconds, or hours, minutes and seconds, in Japanese."""
+    h, m, r = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), (seconds % 60).cast("double")
+    return (
+        F.when(seconds < 60, F.format_string("%.1f 秒", r))
+        .when(seconds < 3600, F.format_string("%d 分 %.1f 秒", m, r))
+        .otherwise(F.format_string("%d 時間 %d 分 %.1f 秒", h, m, r))
+    )
 
 
 def has_heading(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """HTML to Markdown on the standard library's parser: the content area is chosen, boilerplate elements dropped, the rest written as text.
 
 The area is the first that exists of: host rules, ``article``, ``main``, ``role=main``, telling ids, telling classes, the densest child
-of the body, the body. Headings become ``#`` lines, links their text, images their alt text, ruby ``base(reading)``.
+of the body that has children, the body. Headings become ``#`` lines, links their text, images their alt text, ruby ``base(reading)``.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from shirabe.session import spread
 
-#: Elements without content, elements that are never content, and ids and classes that tell the content area.
+#: Elements without content, elements that are never content, and those that the densest child may not be.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset(("script", "style", "noscript", "form", "template", "svg", "head"))
-CONTENT_NAMES = ("content", "main-content", "main", "article", "post", "entry", "body-content", "article-body", "post-content", "entry-content")
-DROPPED_CLASSES = frozenset(("nav", "navbar", "navigation", "sidebar", "footer", "header", "breadcrumb", "breadcrumbs", "ads", "advertisement", "cookie", "share", "social", "related", "comments", "toc"))
+DROPPED = frozenset(("script", "style", "noscript", "form"))
+NOT_DENSE = frozenset(("script", "style", "nav", "noscript", "link"))
+#: Parts of ids and of classes that tell the content area, in order of rank, and classes that are dropped from it.
+CONTENT_IDS = ("main-content", "main_content", "content-wrap", "content_wrap", "page-container", "page_container", "main-body", "main_body", "content", "main")
+CONTENT_CLASSES = ("main-content", "main_content", "main_text", "main-text", "content-wrap", "content_wrap", "page-container", "page_container")
+DROPPED_CLASSES = frozenset(("breadcrumb", "breadcrumbs", "topic-path", "nextprev", "pagination", "toolbar", "footer-wrapper", "footer", "scrolltofeedback", "suggest"))
 _BLOCK = frozenset("p div section article main header footer aside nav ul ol table blockquote pre figure tr h1 h2 h3 h4 h5 h6 li dl dt dd hr body html details summary".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
@@ -104,15 +107,20 @@ def content_area(root: Node, selectors: Sequence[str] = ()) -> Node:
         found = first(lambda n: _matches(n, s))
         if found:
             return found
-    for test in (
-        lambda n: n.tag == "article", lambda n: n.tag == "main", lambda n: n.attrs.get("role") == "main",
-        lambda n: n.attrs.get("id", "").lower() in CONTENT_NAMES, lambda n: any(c in CONTENT_NAMES for c in n.classes()),
-    ):
+    for test in (lambda n: n.tag == "article", lambda n: n.tag == "main", lambda n: n.attrs.get("role") == "main"):
         found = first(test)
         if found:
             return found
-    boxes = [c for c in body.children if isinstance(c, Node) and c.tag in ("div", "section") and c.text().strip()]
-    return max(boxes, key=lambda n: len(n.text())) if boxes else body
+    for part in CONTENT_IDS:
+        found = first(lambda n: part in n.attrs.get("id", "").lower() and n.text().strip())  # noqa: B023
+        if found:
+            return found
+    for part in CONTENT_CLASSES:
+        found = first(lambda n: any(part in c for c in n.classes()) and n.text().strip())  # noqa: B023
+        if found:
+            return found
+    boxes = [c for c in body.children if isinstance(c, Node) and c.tag not in NOT_DENSE and any(isinstance(x, Node) for x in c.children)]
+    return max(boxes, key=lambda n: len(n.text().strip())) if boxes else body
 
 
 def markdown(node: Node, removed: Sequence[str] = ()) -> str:
@@ -131,7 +139,7 @@ def markdown(node: Node, removed: Sequence[str] = ()) -> str:
         if isinstance(n, str):
             out.append(n if plain else re.sub(r"\s+", " ", n))
             return
-        if n.tag in DROPPED or depth > 200 or any(c in DROPPED_CLASSES for c in n.classes()) or any(_matches(n, s) for s in removed):
+        if n.tag in DROPPED or n.tag == "head" or depth > 200 or any(c in DROPPED_CLASSES for c in n.classes()) or any(_matches(n, s) for s in removed):
             return
         inner = lambda p=plain: [write(c, p, depth + 1) for c in n.children]
         if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):

@@ -168,7 +168,7 @@ def size_texts(spark: SparkSession, sf: str) -> DataFrame:
     return _sources(spark, sf).select("row_id", T.size_text(F.col("file_size")).alias("size_text"))
 
 
-@query("SELECT row_id, CASE WHEN duration < 60 THEN printf('%ds', duration) WHEN duration < 3600 THEN printf('%dm %ds', duration // 60, duration % 60) ELSE printf('%dh %dm %ds', duration // 3600, duration % 3600 // 60, duration % 60) END AS elapsed FROM videos WHERE duration >= 0")
+@query("SELECT row_id, CASE WHEN duration < 60 THEN printf('%.1f 秒', duration::DOUBLE) WHEN duration < 3600 THEN printf('%d 分 %.1f 秒', duration // 60, (duration % 60)::DOUBLE) ELSE printf('%d 時間 %d 分 %.1f 秒', duration // 3600, duration % 3600 // 60, (duration % 60)::DOUBLE) END AS elapsed FROM videos WHERE duration >= 0")
 def elapsed_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "videos").filter(F.col("duration") >= 0).select("row_id", T.elapsed_text(F.col("duration")).alias("elapsed"))
 

@@ -51,7 +51,7 @@ def path_urls(spark: SparkSession, sf: str) -> DataFrame:
     return _log(spark, sf).filter(~F.col("url").contains("/?")).select("log_id", P.path_to_url(P.url_to_path(F.col("url"))).alias("url"))
 
 
-@query(f"SELECT log_id, CASE WHEN p = '' THEN 'index.html' WHEN regexp_matches(p, '(?i)\\.(html|htm|php|asp|aspx|jsp|xhtml|md|txt|json|xml|pdf)$') THEN p ELSE p || '.html' END AS file FROM (SELECT log_id, trim({_u('url', 3)}, '/') AS p FROM crawl_log)")
+@query(f"SELECT log_id, CASE WHEN p = '' THEN 'index.html' WHEN regexp_matches(p, '(?i)\\.(html|htm|xhtml|shtml|php|asp|aspx|jsp)$') THEN p ELSE p || '.html' END AS file FROM (SELECT log_id, trim({_u('url', 3)}, '/') AS p FROM crawl_log)")
 def url_files(spark: SparkSession, sf: str) -> DataFrame:
     return _log(spark, sf).select("log_id", P.url_to_filename(F.col("url")).alias("file"))
 

@@ -1,9 +1,7 @@
-"""Session helpers: settings that the operators rely on, table loading, and the shared checkpoint folder."""
+"""Session helpers: settings that the operators rely on, table loading, and spreading of small inputs."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,25 +28,3 @@ def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if 1 < cores and size < cores * least else df
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Where the setting is missing (local tests), a temporary folder is used; the driver and the executors are then one process.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not path:
-        path = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) if hasattr(spark, "sparkContext") else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that a lost executor costs no recomputation of its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -70,7 +70,7 @@ def test_routed_chunks():
     "f,v,want",
     [
         (P.url_to_path, "https://u:p@Ex.com:80/a/b/?q=1#f", "web/https/Ex.com：80/a/b？q=1"), (P.url_to_path, "http://x.y", "web/http/x.y/index"), (P.url_to_path, "ftp://x.y/z", None),
-        (P.path_to_url, "web/https/x.y/a？b=1", "https://x.y/a?b=1"), (P.path_to_url, "local/a", None), (P.url_to_filename, "http://x.y/", "index.html"), (P.url_to_filename, "http://x.y/a.PHP", "a.PHP"),
+        (P.path_to_url, "web/https/x.y/a？b=1", "https://x.y/a?b=1"), (P.path_to_url, "local/a", None), (P.url_to_filename, "http://x.y/", "index.html"), (P.url_to_filename, "http://x.y/a.PHP", "a.PHP"), (P.needs_html_ending, "http://x.y/a.pdf", False), (P.needs_html_ending, "http://x.y/a.b", True),
         (P.attachment_parent, "bluesky/d/2024/01/media/k/0.jpg", "bluesky/d/2024/01/k.json"), (P.attachment_parent, "web/media/x", None), (P.source_type, "web\\a", "web"), (P.source_type, "zzz/a", None),
         (P.is_source_file, "web/a.html", True), (P.is_source_file, "web/a.html.meta", False), (P.is_source_file, "metadata.db-wal", False), (P.is_source_file, "web/docdata/x", False),
         (P.route, "https://www.youtube.com/watch?v=abcdefghijk", "youtube"), (P.route, "https://youtu.be/x", "invalid_youtube"), (P.route, "https://bsky.app/x", "skip"), (P.route, "mailto:x", None), (P.route, "http://a.b", "web"),
@@ -88,7 +88,7 @@ def test_columns(spark, f, v, want):
 
 def test_formats(spark):
     assert [one(spark, T.size_text, n, "long") for n in (0, 1023, 1024, 1536, 5 << 20, 3 << 30)] == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "5.0 MB", "3.0 GB"]
-    assert [one(spark, T.elapsed_text, n, "long") for n in (5, 65, 3725)] == ["5s", "1m 5s", "1h 2m 5s"]
+    assert [one(spark, T.elapsed_text, n, "long") for n in (5, 65, 3725)] == ["5.0 秒", "1 分 5.0 秒", "1 時間 2 分 5.0 秒"]
     assert one(spark, lambda c: T.slices(c, 4, 3), "abcdefgh") == ["abcd", "defg", "gh"] and one(spark, lambda c: T.slices(c, 4), "") == []
 
 
@@ -150,7 +150,7 @@ def test_transcripts(spark):
 
 
 def test_html_to_markdown(spark):
-    page = "<html><body><nav>menu</nav><article><h1>Title</h1><p>One <a href='/x'>link</a><p>Two<br>lines<img alt='pic'><ul><li>a<li>b</ul><ruby>漢<rt>かん</rt></ruby><div class='ads'>buy</div><table><tr><th>h<th>i<tr><td>1<td>2</table><script>x</script></article></body></html>"
+    page = "<html><body><nav>menu</nav><article><h1>Title</h1><p>One <a href='/x'>link</a><p>Two<br>lines<img alt='pic'><ul><li>a<li>b</ul><ruby>漢<rt>かん</rt></ruby><div class='Breadcrumb'>buy</div><table><tr><th>h<th>i<tr><td>1<td>2</table><script>x</script></article></body></html>"
     md = html_markdown.convert(page)
     assert md == "# Title\n\nOne link\n\nTwo\nlinespic\n\n- a\n- b\n\n漢(かん)\n\n| h | i |\n|---|---|\n| 1 | 2 |"
     assert html_markdown.convert("<div id=x>no</div><div class=keep>yes</div>", [".keep"]) == "yes"
