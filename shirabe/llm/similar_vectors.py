@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-K, RADIUS, LEAF_ROWS, MARGIN = 10, 20, 16_384, 0.07
+K, RADIUS, LEAF_ROWS, MARGIN = 10, 16, 16_384, 0.1
 #: Bounds of the sample that the rotation and the routing tree are fitted on: N / 128 rows, between these.
 SAMPLE_LEAST, SAMPLE_MOST = 20_000, 1_000_000
 _LOW, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
@@ -63,7 +63,7 @@ def learn_rotation(x: np.ndarray, rounds: int = 20, seed: int = 7) -> tuple[np.n
 def learn_routing(x: np.ndarray, leaf: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A tree over unit rows: each node takes the principal direction and threshold with the fewest rows near it.
 
-    The margin shrinks with the node's spread, so a tight group is split as well, and a level adds about a quarter of copies at most.
+    The margin shrinks with the node's spread, so a tight group is split as well, and a level adds about a third of copies at most.
     """
     dirs, ths, margins, kids = [], [], [], []
 
@@ -79,7 +79,7 @@ def learn_routing(x: np.ndarray, leaf: int, margin: float) -> tuple[np.ndarray,
         n, best = len(proj), None
         for a in range(proj.shape[1]):
             col = proj[:, a]
-            m = min(margin, 0.35 * float(col.std()))
+            m = min(margin, 0.45 * float(col.std()))
             if m <= 1e-9:
                 continue
             t = col[np.linspace(0.2 * n, 0.8 * n - 1, 60).astype(int)]
