@@ -68,15 +68,15 @@ def stale_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.join(total, "source_id").filter(F.col("chunk_index") >= F.col("total")).select("id", "source_id").distinct()
 
 
-@query("SELECT id, max(indexed_at) AS indexed_at, count(*) AS upserts FROM chunks GROUP BY 1")
+@query("SELECT id, epoch_us(max(indexed_at)) AS indexed_us, count(*) AS upserts FROM chunks GROUP BY 1")
 def chunk_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "chunks").groupBy("id").agg(F.max("indexed_at").alias("indexed_at"), F.count(F.lit(1)).alias("upserts"))
+    return table(spark, sf, "chunks").groupBy("id").agg(F.unix_micros(F.max("indexed_at")).alias("indexed_us"), F.count(F.lit(1)).alias("upserts"))
 
 
-@query("SELECT chunk_id, max(embedded_at) AS embedded_at, arg_max(len(embedding), embedded_at) AS dims, count(*) AS versions FROM (SELECT chunk_id, embedded_at, coalesce(embedding, []) AS embedding FROM chunk_vectors) GROUP BY 1")
+@query("SELECT chunk_id, epoch_us(max(embedded_at)) AS embedded_us, arg_max(len(embedding), embedded_at) AS dims, count(*) AS versions FROM (SELECT chunk_id, embedded_at, coalesce(embedding, []) AS embedding FROM chunk_vectors) GROUP BY 1")
 def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
     dims = F.size(F.coalesce("embedding", F.array().cast("array<float>"))).cast("bigint")
-    return table(spark, sf, "chunk_vectors").groupBy("chunk_id").agg(F.max("embedded_at").alias("embedded_at"), F.max_by(dims, "embedded_at").alias("dims"), F.count(F.lit(1)).alias("versions"))
+    return table(spark, sf, "chunk_vectors").groupBy("chunk_id").agg(F.unix_micros(F.max("embedded_at")).alias("embedded_us"), F.max_by(dims, "embedded_at").alias("dims"), F.count(F.lit(1)).alias("versions"))
 
 
 @query("SELECT DISTINCT chunk_id FROM chunk_vectors WHERE chunk_id NOT IN (SELECT id FROM chunks)")
