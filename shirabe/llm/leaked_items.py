@@ -1,10 +1,10 @@
 """Evaluation passages that stand, whole or in part, in a large corpus.
 
-Texts become token sequences (a Latin word or a Japanese character each, after escapes, markup, case and width are undone). Windows of
-the items' passages are embedded by the CGK random walk, which turns edit distance into Hamming distance; bit sampling of the walk's
-output, repeated with other walks, hashes them. The windows that start at every token of a document take the same walks, dropping out
-as soon as their samples meet no item. Documents that meet windows of one item are verified by exact edit distance, sentence by
-sentence.
+Texts become token sequences (a Latin word or a Japanese character each, after escapes, markup, case and width are undone). Each
+sentence of an item is cut into one piece more than it may hold edits, so that every sentence that is recognisable keeps one piece as
+it was. Rolling hashes find all pieces at all places of a document; a place stays where enough of the sentence's tokens lie next to
+it. Documents that hold so, of one item, sentences that could make up a leak are verified by exact edit distance, sentence by
+sentence. No step before that drops a leak.
 
 The items are few and fixed in number; they travel in blocks of at most ITEMS_MOST, each block a pass over the corpus. The corpus is
 read in place: nothing of it is shuffled but the found pairs.
@@ -29,11 +29,11 @@ from shirabe.llm.split_items import natural_boundaries
 from shirabe.session import spread
 
 ITEMS_MOST = 20_000
-#: Window lengths in tokens (Latin, Japanese), samples of one hash, walks.
-LATIN_WINDOW, JAPANESE_WINDOW, SAMPLES, WALKS = 8, 16, 6, 3
-#: Tokens in which a window may differ from an item's, and the share of an item's windows that a document must hold to be verified.
-WINDOW_EDITS, SHARE = 1, 0.16
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Lengths in tokens that are hashed; a piece is looked up by the longest that it holds.
+SEEDS = (1, 2, 3, 4, 5, 6, 8, 12, 16, 24, 32)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_PAD = 64
 
 _TOKEN = re.compile(r"[0-9a-zà-ÿ]+|[぀-ヿ㐀-鿿々]")
 _UNICODE_ESCAPE = re.compile(r"\\u\{?([0-9a-fA-F]{4,6})\}?|\\x([0-9a-fA-F]{2})")
@@ -97,17 +97,16 @@ class Index:
     items: list[Item]
     vocabulary: dict[str, int]
     widths: np.ndarray
-    flat: np.ndarray  # all passages in a row, each followed by zeros
-    offsets: np.ndarray
-    windows: np.ndarray  # of each item, how many
-    tables: list  # one for each script: (window, walks, first tokens, per walk: bits, sample steps, prefix bitmaps, sorted hashes, items, anchors)
+    flat: np.ndarray  # all sentences in a row
+    sentences: np.ndarray  # of each sentence: item, number in it, first token in ``flat``, tokens, edits
+    tables: list  # one for each seed length: (length, bitmap, sorted hashes, sentences, offsets in them, lengths and hashes of the pieces)
 
 
 def _allowed(n: int, japanese: bool) -> int:
-    return (1 if n < 80 else 2) if japanese else -(-n // 8)
+    return min(n - 1, (1 if n < 80 else 2) if japanese else -(-n // 8))
 
 
-def build_index(ids: Sequence, passages: Sequence[str], seed: int = 11) -> Index:
+def build_index(ids: Sequence, passages: Sequence[str]) -> Index:
     """The index over one block of items."""
     vocabulary: dict[str, int] = {}
     items = []
@@ -129,104 +128,96 @@ def build_index(ids: Sequence, passages: Sequence[str], seed: int = 11) -> Index
             item.length += sum(map(len, words)) + (0 if item.japanese else len(words))
             position += len(words)
         items.append(item)
-    size = len(vocabulary) + 1
-    rng = np.random.default_rng(seed)
+    flat: list[int] = []
+    sentences: list[tuple[int, int, int, int, int]] = []
+    pieces: dict[int, list[tuple[int, int, int]]] = {}
+    for i, item in enumerate(items):
+        for k, (s, e) in enumerate(zip(item.sentences, item.edits)):
+            bounds = [len(s) * j // (e + 1) for j in range(e + 2)]
+            for a, b in zip(bounds, bounds[1:]):
+                pieces.setdefault(max(q for q in SEEDS if q <= b - a), []).append((len(sentences), a, b - a))
+            sentences.append((i, k, len(flat), len(s), e))
+            flat += s
+    table = np.array(sentences, np.int64).reshape(-1, 5)
+    tokens_flat = np.array(flat, np.int32)
+    rolled = _rolled(tokens_flat)
     tables = []
-    counts = np.ones(len(items), np.int64)
-    passages_flat = [np.array([t for s in item.sentences for t in s] + [0] * JAPANESE_WINDOW, np.int32) for item in items]
-    for japanese, window in ((False, LATIN_WINDOW), (True, JAPANESE_WINDOW)):
-        owner, anchor, rows = [], [], []
-        for i, item in enumerate(items):
-            if item.japanese != japanese:
-                continue
-            flat = [t for s in item.sentences for t in s]
-            if not flat:
-                continue
-            w = min(window, len(flat))
-            anchors = [a for a in sorted({*item.starts, *range(0, len(flat), window // 2)}) if a + w <= len(flat)]
-            counts[i] = len(anchors)
-            for a in anchors:
-                owner.append(i)
-                anchor.append(a)
-                rows.append(flat[a : a + window] + [0] * (3 * window - len(flat[a : a + window])))
-        if not rows:
-            continue
-        grid = np.array(rows, np.int32)
-        first = np.zeros(size, bool)
-        first[grid[:, 0]] = True
-        walks = []
-        for _ in range(WALKS):
-            bits = rng.integers(0, 2, (2 * window, size)).astype(np.int32)
-            bits[:, 0] = 1
-            # samples lie in the stretch that a walk covers before it leaves the window, most of the time
-            # the first comes early, so that most windows drop out early
-            steps = np.r_[2, np.sort(rng.choice(np.arange(3, int(1.6 * window)), SAMPLES - 2, replace=False))]
-            hashes, prefixes = _walk(grid.ravel(), np.arange(len(rows)) * grid.shape[1], bits, steps)
-            order = np.argsort(hashes, kind="stable")
-            walks.append((bits, steps, prefixes, hashes[order], np.array(owner)[order], np.array(anchor)[order]))
-        tables.append((window, first, walks))
-    widths = np.zeros(size, np.int32)
-    for w, k in vocabulary.items():
-        widths[k] = len(w)
-    offsets = np.cumsum([0] + [len(f) for f in passages_flat])[:-1]
-    return Index(list(ids), items, vocabulary, widths, np.concatenate([*passages_flat, np.zeros(0, np.int32)]), offsets, counts, tables)
+    for q in sorted(pieces):
+        sentence, offset, length = np.array(pieces[q], np.int64).T
+        at = table[sentence, 2] + offset
+        hashes = _hash(rolled, at, q)
+        order = np.argsort(hashes, kind="stable")
+        seen = np.zeros(1 << 20, bool)
+        seen[_bitmap(hashes)] = True
+        tables.append((q, seen, hashes[order], sentence[order], offset[order], length[order], _hash(rolled, at, length)[order]))
+    widths = np.zeros(len(vocabulary) + 1, np.int32)
+    for w, n in vocabulary.items():
+        widths[n] = len(w)
+    return Index(list(ids), items, vocabulary, widths, tokens_flat, table, tables)
 
 
 def _bitmap(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)
 
 
-def _walk(flat: np.ndarray, at: np.ndarray, bits: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Hashes of the walks that start at ``at`` and, for each sample, a bitmap of the hashes so far."""
-    p = at.copy()
-    h = flat[p].astype(np.uint64) * _PRIME
-    prefixes = []
-    for t in range(int(steps[-1]) + 1):
-        s = flat[p]
-        if t in steps:
-            h = (h ^ (s.astype(np.uint64) + np.uint64(t))) * _PRIME
-            seen = np.zeros(1 << 20, bool)
-            seen[_bitmap(h)] = True
-            prefixes.append(seen)
-        p += bits[t][s]
-    return h, prefixes
-
-
-def probe(index: Index, flat: np.ndarray, limit: int = 400_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, item, anchor) of the windows of the token array that meet an item's window in some walk and equal it but for WINDOW_EDITS tokens."""
-    found = []
-    for window, first, walks in index.tables:
-        starts = np.flatnonzero(first[flat[: len(flat) - 3 * window]]) if len(flat) > 3 * window else np.empty(0, np.int64)
-        for lo in range(0, len(starts), limit):
-            base = starts[lo : lo + limit].astype(np.int32)
-            seed = flat[base].astype(np.uint64) * _PRIME
-            met = []
-            for bits, steps, prefixes, hashes, owner, anchor in walks:
-                p, at, h = base.copy(), base, seed
-                k = 0
-                for t in range(int(steps[-1]) + 1):
-                    s = flat[p]
-                    if t == steps[k]:
-                        h = (h ^ (s.astype(np.uint64) + np.uint64(t))) * _PRIME
-                        keep = np.flatnonzero(prefixes[k][_bitmap(h)])
-                        p, at, h, s = p[keep], at[keep], h[keep], s[keep]
-                        k += 1
-                    p += bits[t][s]
-                left = np.searchsorted(hashes, h, side="left")
-                n = np.searchsorted(hashes, h, side="right") - left
-                rows = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                met.append(np.repeat(at, n).astype(np.int64) << np.int64(32) | (index.offsets[owner[rows]] + anchor[rows]))
-            pairs = np.unique(np.concatenate(met))
-            at, place = pairs >> np.int64(32), pairs & np.int64((1 << 32) - 1)
-            differ = np.zeros(len(at), np.int16)
-            for o in range(window):
-                a = index.flat[place + o]
-                differ += (a != flat[at + o]) & (a != 0)
-            good = differ <= WINDOW_EDITS
-            item = np.searchsorted(index.offsets, place[good], side="right") - 1
-            found.append((at[good], item, place[good] - index.offsets[item]))
-    if not found:
-        return (np.empty(0, np.int64),) * 3
+def _rolled(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the tokens so far times powers of a base, and the inverse powers."""
+    rising = np.cumprod(np.full(len(flat), _BASE, np.uint64))
+    mixed = (flat.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(29)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * rising)]), np.cumprod(np.full(len(flat), _BASE_INVERSE, np.uint64))
+
+
+def _hash(rolled: tuple[np.ndarray, np.ndarray], at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Hashes of ``length`` tokens from each place."""
+    sums, falling = rolled
+    h = (sums[at + length] - sums[at]) * falling[at]
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0x94D049BB133111EB)
+
+
+def probe(index: Index, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of a piece, place of its sentence's start, sentence): where a piece stands in the token array as it was, and all but the
+    sentence's edits of its tokens are as far from their places as its edits can move them."""
+    most = max((int(t[5].max()) for t in index.tables), default=0)
+    known = np.flatnonzero(flat)
+    flat = np.concatenate([flat, np.zeros(most, np.int32)])
+    size = len(flat)
+    rolled = _rolled(flat)
+    found = [(np.empty(0, np.int64),) * 3]
+    for q, seen, hashes, owner, offset, length, whole in index.tables:
+        h = _hash(rolled, known, q)
+        keep = np.flatnonzero(seen[_bitmap(h)])
+        h = h[keep]
+        left = np.searchsorted(hashes, h, side="left")
+        n = np.searchsorted(hashes, h, side="right") - left
+        rows = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(known[keep], n)
+        same = _hash(rolled, at, length[rows]) == whole[rows]
+        rows, at = rows[same], at[same]
+        sentence, begin = owner[rows], offset[rows]
+        _, _, first, tokens_in, edits = index.sentences[sentence].T
+        place, nxt, missed = at - begin, begin + length[rows], np.zeros(len(at), np.int64)
+        left_over = tokens_in - length[rows]
+        live = np.arange(len(at))
+        done = [live[:0]]
+        step = 0
+        while len(live):  # the tokens after the piece, then those before it
+            over = left_over[live] <= step
+            done.append(live[over])
+            live = live[~over]
+            o = (nxt[live] + step) % tokens_in[live]
+            token, e = index.flat[first[live] + o], edits[live]
+            to = place[live] + o
+            hit = np.zeros(len(live), bool)
+            for shift in range(int(e.max(initial=0)) + 1):
+                for near in {shift, -shift}:
+                    hit |= (flat[np.clip(to + near, 0, size - 1)] == token) & (shift <= e)
+            missed[live] += ~hit
+            live = live[missed[live] <= e]
+            step += 1
+        kept = np.concatenate(done)
+        found.append((at[kept], place[kept], sentence[kept]))
     return tuple(np.concatenate(c) for c in zip(*found))  # type: ignore[return-value]
 
 
@@ -332,10 +323,9 @@ def _chained(item: Item, doc: np.ndarray, places: list[list[tuple[int, int]]], w
 
 def find_in(index: Index, texts: Sequence[str]) -> list[tuple[int, int]]:
     """(text number, item number) of all leaks in ``texts``."""
-    vocabulary = index.vocabulary
-    get = vocabulary.get
+    get = index.vocabulary.get
     parts, starts, at = [], [], 0
-    pad = [0] * (4 * JAPANESE_WINDOW)
+    pad = [0] * _PAD
     for t in texts:
         ids = [get(w, 0) for w in tokens(t)]
         starts.append(at)
@@ -343,27 +333,24 @@ def find_in(index: Index, texts: Sequence[str]) -> list[tuple[int, int]]:
         at += len(ids) + len(pad)
     if not parts:
         return []
-    position, item, anchor = probe(index, np.concatenate(parts))
-    if not len(position):
+    piece, place, sentence = probe(index, np.concatenate(parts))
+    if not len(place):
         return []
-    text = np.searchsorted(np.array(starts), position, side="right") - 1
-    diagonal = position - np.array(starts)[text] - anchor
-    order = np.lexsort((diagonal, item, text))
-    text, item, diagonal, anchor = text[order], item[order], diagonal[order], anchor[order]
+    item, number = index.sentences[sentence, :2].T
+    text = np.searchsorted(np.array(starts), piece, side="right") - 1
+    place = place - np.array(starts)[text]
+    order = np.lexsort((place, number, item, text))
+    text, item, number, place = text[order], item[order], number[order], place[order]
     cut = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(item) != 0)])
-    ends = np.r_[cut[1:], len(text)]
-    pair = np.repeat(np.arange(len(cut)), ends - cut)
-    kinds = np.bincount(np.unique(pair * np.int64(1 << 24) + anchor) >> np.int64(24), minlength=len(cut))
-    enough = np.flatnonzero(kinds >= SHARE * index.windows[item[cut]])
     out = []
-    for a, b in zip(cut[enough].tolist(), ends[enough].tolist()):
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(text)]):
         k, i = int(text[a]), int(item[a])
-        places, n = np.unique(diagonal[a:b], return_counts=True)
-        thinned: list[int] = []
-        for p in places[np.argsort(-n, kind="stable")].tolist():  # the diagonals that hold most windows first
-            if all(abs(p - q) > 2 for q in thinned):
-                thinned.append(p)
-        if verify(index.items[i], parts[k][: len(parts[k]) - len(pad)], thinned, index.widths):
+        it = index.items[i]
+        met = set(number[a:b].tolist())
+        if len(met) < min(2, len(it.sentences)) or 2 * sum(it.weights[n] for n in met) < sum(it.weights):
+            continue
+        diagonals = sorted({p - it.starts[n] for n, p in zip(number[a:b].tolist(), place[a:b].tolist())})
+        if verify(it, parts[k][: len(parts[k]) - len(pad)], diagonals, index.widths):
             out.append((k, i))
     return out
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from shirabe.llm.leaked_items import edit_distance_within, leaked_items, tokens, undone
+from shirabe.llm.leaked_items import build_index, edit_distance_within, find_in, leaked_items, tokens, undone
 
 EN = (
     "When our review compared the recent project, another setting updated the common feature. The kitchen lost one basket near the yellow window! "
@@ -75,3 +75,35 @@ def test_edit_distance():
 def test_undone():
     assert tokens("Ｆｏｏ &amp;#x41; \\u3042\\n<b>b</b>a*r* quasi-\nset %E3%81%82%E3%81%84") == ["foo", "a", "あ", "bar", "quasiset", "あ", "い"]
     assert undone("") == ""
+
+
+def short_items(rnd, n):
+    """Passages of four short sentences, English ones of 4 to 9 words and Japanese ones of 10 to 16 characters."""
+    words = ["".join(rnd.choice("bdgklmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(150)]
+    for i in range(n):
+        if i % 2:
+            yield [[chr(0x3042 + rnd.randrange(80)) for _ in range(rnd.randint(10, 16))] for _ in range(4)]
+        else:
+            yield [[rnd.choice(words) for _ in range(rnd.randint(4, 9))] for _ in range(4)]
+
+
+@pytest.mark.parametrize("apart", [False, True])
+@pytest.mark.parametrize("edited", [False, True])
+def test_halves_of_items_of_short_sentences(apart, edited):
+    rnd = random.Random(3)
+    items = list(short_items(rnd, 200))
+    write = lambda s: "".join(s) + "。" if len(s[0]) == 1 else " ".join(s).capitalize() + ". "
+    index = build_index(range(200), ["".join(map(write, item)) for item in items])
+    lost = []
+    for i, item in enumerate(items):
+        ja = len(item[0][0]) == 1
+        weight = [len(write(s).strip()) for s in item]
+        half = next(p for p in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)) if 2 * (weight[p[0]] + weight[p[1]]) >= sum(weight))
+        taken = [list(item[k]) for k in half]
+        if edited:
+            for s in taken:
+                s[rnd.randrange(len(s))] = "猫" if ja else "quux"
+        between = ("港では朝から風が強かった。" if ja else "A gardener walked along. ") if apart else ""
+        if find_in(index, [embed(write(taken[0]) + between + write(taken[1]), ja)]) != [(0, i)]:
+            lost.append(i)
+    assert lost == []
