@@ -16,7 +16,7 @@ import html
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
@@ -79,10 +79,9 @@ def _is_ja(words: Sequence[str]) -> bool:
 
 @dataclass
 class Item:
-    """A passage: its sentences as token ids, their first tokens, their weights in characters and the allowed edits of each."""
+    """A passage: its sentences as token ids, their weights in characters and the allowed edits of each."""
 
     sentences: list[list[int]] = field(default_factory=list)
-    starts: list[int] = field(default_factory=list)
     weights: list[int] = field(default_factory=list)
     edits: list[int] = field(default_factory=list)
     masks: list[dict[int, int]] = field(default_factory=list)
@@ -113,7 +112,6 @@ def build_index(ids: Sequence, passages: Sequence[str]) -> Index:
     for passage in passages:
         ends = [0, *natural_boundaries(passage), len(passage)]
         item = Item()
-        position = 0
         parts = [(tokens(passage[a:b]), len(passage[a:b].strip())) for a, b in zip(ends, ends[1:])]
         item.japanese = _is_ja([w for p, _ in parts for w in p])
         for words, weight in parts:
@@ -122,11 +120,9 @@ def build_index(ids: Sequence, passages: Sequence[str]) -> Index:
             item.sentences.append([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words])
             item.masks.append(masks_of(item.sentences[-1]))
             item.kinds.append(set(item.sentences[-1]))
-            item.starts.append(position)
             item.weights.append(weight)
             item.edits.append(_allowed(len(words), _is_ja(words)))
             item.length += sum(map(len, words)) + (0 if item.japanese else len(words))
-            position += len(words)
         items.append(item)
     flat: list[int] = []
     sentences: list[tuple[int, int, int, int, int]] = []
@@ -255,51 +251,26 @@ def edit_distance_within(a: Sequence[int], b: Sequence[int], most: int, masks: d
     return (best, end) if best <= most else (n + 1, -1)
 
 
-def verify(item: Item, doc: np.ndarray, diagonals: Sequence[int], widths: np.ndarray) -> bool:
-    """Whether sentences that make up half of the passage stand in order within three passage lengths, around one of ``diagonals``
-    (the places where the passage would start)."""
-    total = sum(item.weights)
-    tokens_of_item = item.starts[-1] + len(item.sentences[-1])
+def verify(item: Item, doc: np.ndarray, met: Sequence[tuple[int, int]], widths: np.ndarray) -> bool:
+    """Whether sentences that make up half of the passage stand in order within three passage lengths, of those that ``met`` names with
+    the places where they would start. Every place counts, wherever in the document it is."""
     words = doc.tolist()
-    tried: set[tuple[int, int]] = set()
-    places: list[list[tuple[int, int]]] = [[] for _ in item.sentences]
-    # every diagonal gives a place for each sentence; a sentence is searched in the neighbourhood of its places
-    for n, d in enumerate(diagonals):
-        if n == 1 and _chained(item, doc, places, widths):
-            return True
-        for k, s in enumerate(item.sentences):
-            slack = 3 + len(s) // 4
-            lo = max(0, d + item.starts[k] - slack)
-            hi = min(len(words), d + item.starts[k] + len(s) + slack)
-            if hi - lo < len(s) - item.edits[k] or (k, lo) in tried:
-                continue
-            tried.add((k, lo))
-            if len(item.kinds[k].difference(words[lo:hi])) > item.edits[k]:
-                continue  # every kind of token that is missing costs an edit
-            if words[d + item.starts[k] : d + item.starts[k] + len(s)] == s and d + item.starts[k] >= 0:
-                places[k].append((d + item.starts[k], d + item.starts[k] + len(s)))
-                continue
-            _, end = edit_distance_within(s, words[lo:hi], item.edits[k], item.masks[k])
-            if end >= 0:
-                places[k].append((lo + end - len(s), lo + end))
-    have = sum(w for w, p in zip(item.weights, places) if p)
-    missing = [k for k, p in enumerate(places) if not p]
-    if not any(places):
-        return False
-    if missing and 2 * have < total:  # sentences that moved apart: the whole stretch around those found
-        at = min(p[0][0] for p in places if p)
-        lo, hi = max(0, at - 3 * tokens_of_item), min(len(words), at + 3 * tokens_of_item)
-        around = set(words[lo:hi])
-        for k in missing:
-            if len(item.kinds[k] - around) > item.edits[k]:
-                continue
-            _, end = edit_distance_within(item.sentences[k], words[lo:hi], item.edits[k], item.masks[k])
-            if end >= 0:
-                places[k].append((lo + end - len(item.sentences[k]), lo + end))
+    places: list[set[tuple[int, int]]] = [set() for _ in item.sentences]
+    for k, p in met:
+        s, slack = item.sentences[k], item.edits[k]
+        if p >= 0 and words[p : p + len(s)] == s:
+            places[k].add((p, p + len(s)))
+            continue
+        lo, hi = max(0, p - slack), max(0, p + len(s) + slack)
+        if len(item.kinds[k].difference(words[lo:hi])) > item.edits[k]:
+            continue  # every kind of token that is missing costs an edit
+        _, end = edit_distance_within(s, words[lo:hi], item.edits[k], item.masks[k])
+        if end >= 0:
+            places[k].add((lo + end - len(s), lo + end))
     return _chained(item, doc, places, widths)
 
 
-def _chained(item: Item, doc: np.ndarray, places: list[list[tuple[int, int]]], widths: np.ndarray) -> bool:
+def _chained(item: Item, doc: np.ndarray, places: Sequence[Iterable[tuple[int, int]]], widths: np.ndarray) -> bool:
     """Whether found sentences of half the passage's weight (two at least, where it has several) follow each other within three lengths."""
     total = sum(item.weights)
     if 2 * sum(w for w, p in zip(item.weights, places) if p) < total:
@@ -346,11 +317,11 @@ def find_in(index: Index, texts: Sequence[str]) -> list[tuple[int, int]]:
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(text)]):
         k, i = int(text[a]), int(item[a])
         it = index.items[i]
-        met = set(number[a:b].tolist())
-        if len(met) < min(2, len(it.sentences)) or 2 * sum(it.weights[n] for n in met) < sum(it.weights):
+        met = set(zip(number[a:b].tolist(), place[a:b].tolist()))
+        kinds = {n for n, _ in met}
+        if len(kinds) < min(2, len(it.sentences)) or 2 * sum(it.weights[n] for n in kinds) < sum(it.weights):
             continue
-        diagonals = sorted({p - it.starts[n] for n, p in zip(number[a:b].tolist(), place[a:b].tolist())})
-        if verify(it, parts[k][: len(parts[k]) - len(pad)], diagonals, index.widths):
+        if verify(it, parts[k][: len(parts[k]) - len(pad)], sorted(met), index.widths):
             out.append((k, i))
     return out
 

@@ -107,3 +107,13 @@ def test_halves_of_items_of_short_sentences(apart, edited):
         if find_in(index, [embed(write(taken[0]) + between + write(taken[1]), ja)]) != [(0, i)]:
             lost.append(i)
     assert lost == []
+
+
+def test_a_stray_copy_far_ahead_hides_no_leak():
+    first = "Our curator catalogued seventeen porcelain teapots while several patient volunteers carefully wrapped painted saucers downstairs yesterday evening."
+    rest = ["Their insurer requested photographs before each delivery.", "Heavy crates blocked both museum corridors overnight.", "Nobody remembered where those missing labels went."]
+    index = build_index([1], [" ".join([first, *rest])])
+    spread_out = f"{first} {FILLER}{rest[0].replace('photographs', 'drawings')} {FILLER}{rest[1].replace('corridors', 'doors')} "
+    assert find_in(index, [spread_out]) == [(0, 0)]
+    assert find_in(index, [first + " " + FILLER * 100 + spread_out + FILLER * 5]) == [(0, 0)]
+    assert find_in(index, [first + " " + FILLER * 100 + rest[0] + " "]) == []
