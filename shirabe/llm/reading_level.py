@@ -26,6 +26,8 @@ from shirabe.session import spread
 LEAST_CHARS, LEVELS = 300, 5
 #: Slots of the word-count table, and rated documents that the model is fitted on at most.
 SLOTS, RATED_MOST = 1 << 16, 8000
+#: Words of a stretch whose variety is measured.
+SEGMENT = 80
 
 _FENCE = re.compile(r"^(?:```|~~~)[\s\S]*?(?:^(?:```|~~~)[ \t\r]*$|\Z)", re.MULTILINE)
 _LATIN = re.compile(r"[a-z]+(?:[-'’][a-z]+)*")
@@ -72,6 +74,13 @@ def prose_of(text: str) -> str:
     return _ROW.sub(_cells, text) if "|" in text else text
 
 
+def _variety(words: list[str]) -> float:
+    """The mean share of different words over all stretches of SEGMENT words; the last stretch ends with the text."""
+    last = max(0, len(words) - SEGMENT)
+    starts = [*range(0, last, SEGMENT), last]
+    return sum(len(set(words[a : a + SEGMENT])) for a in starts) / len(starts) / max(1, min(SEGMENT, len(words)))
+
+
 def profile(text: str) -> tuple[bool, np.ndarray, list[str], list[str]]:
     """(mainly Japanese, form features (the last: the share of table rows), words for rarity, words for calibrated difficulty) of one text."""
     plain = prose_of(text)
@@ -95,7 +104,7 @@ def profile(text: str) -> tuple[bool, np.ndarray, list[str], list[str]]:
         max(0.0, (sizes * sizes).sum() / len(sizes) - mean * mean) ** 0.5,
         *(np.count_nonzero(sizes >= least) / len(sizes) for least in ((4, 5, 6) if ja else (7, 10, 13))),
         len(kinds) / n**0.75,
-        len(set(words[:80])) / max(1, min(80, n)),
+        _variety(words),
         (plain.count("、") if ja else plain.count(",") + plain.count(";")) / sentences,
     ]
     if ja:

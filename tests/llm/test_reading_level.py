@@ -63,3 +63,13 @@ def test_ordinal_orders_levels():
 def test_profile_shapes(text):
     ja, form, rare, graded = profile(text)
     assert vector(ja, form, np.zeros(0), np.zeros(0)).shape == (1 + 2 * HALF + 6,)
+
+
+def test_variety_is_of_the_whole_text():
+    letters = "abcdefghij"
+    kinds = [a + b + c for a in letters for b in letters for c in "xy"]
+    share = lambda words: profile(" ".join(words))[1][8]
+    assert share(kinds[:80]) == 1.0 and share(kinds[:7] + kinds[:7]) == 0.5 and share([]) == 0.0
+    assert share(kinds[:80] + ["word"] * 160) == pytest.approx((80 + 1 + 1) / 240)
+    assert share(["word"] * 160 + kinds[:80]) == pytest.approx((80 + 1 + 1) / 240)
+    assert share(kinds[:80] + ["word"] * 40) == pytest.approx((80 + 41) / 160)
