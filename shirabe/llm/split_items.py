@@ -23,21 +23,26 @@ WINDOW, SPACING = 32, 128
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
-_TOKEN = re.compile(
-    r"""(?m)
+_BLOCK = r"""
     (?P<fence>^(?:```|~~~)[\s\S]*?(?:^(?:```|~~~)[ \t\r]*$|\Z))
   | (?P<line>^\#{1,6}[ \t][^\n]*)
   | (?P<table>^[ \t]*\|[^\n]*)
-  | (?P<item>^[ \t]*(?:[-*+•‣◦][ \t]|・|\d{1,3}[.)][ \t])[^\n]*)
-  | (?P<time>^[\[(]?\d{1,2}:\d{2}(?::\d{2})?[\])]?[ \t　]+)
+"""
+_TOKEN = re.compile(
+    rf"""(?m)
+    {_BLOCK}
+  | (?P<item>^[ \t]*(?:[-*+•‣◦][ \t]|・|\d{{1,3}}[.)][ \t])[^\n]*)
+  | (?P<time>^[\[(]?\d{{1,2}}:\d{{2}}(?::\d{{2}})?[\])]?[ \t　]+)
   | (?P<gap>\n[ \t\r　]*(?=\n))
   | (?P<newline>\n)
-  | (?P<bracket>「[^「」]{0,600}(?:「[^「」]*」[^「」]*)*」|『[^『』]{0,600}』|（[^（）]{0,600}）|【[^【】]{0,300}】|\([^()]{0,600}\)|“[^“”]{0,600}”|"[^"\n]{1,600}(?:\n[^"\n]{1,600}){0,2}")
+  | (?P<bracket>[「『（【(“"])
   | (?P<wide>[。．！？♪…‥][。．！？♪…‥!?.]*[」』）”]*)
   | (?P<narrow>(?:[!?]+|\.+)[!?.]*["”’)\]]*(?=[\s]|\Z))
     """,
     re.VERBOSE,
 )
+_MARK = re.compile(rf"""(?m){_BLOCK} | (?P<gap>\n[ \t\r　]*(?=\n)) | (?P<number>^[ \t]*\d{{1,3}}\)(?=[ \t])) | [「」『』（）【】()“”"]""", re.VERBOSE)
+_OPENING = {"」": "「", "』": "『", "）": "（", "】": "【", ")": "(", "”": "“"}
 _RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t\r]*$")
 _SOLID = re.compile(r"\S")
 _ABBREVIATION = re.compile(r"(?:^|[\s(\"“‘\[])(?:Dr|Mr|Mrs|Ms|Prof|St|Jr|Sr|No|Nos|vol|Vol|fig|Fig|cf|Cf|pp?|vs|approx|[ei]\.[eg]|[A-Z])\.$")
@@ -77,6 +82,36 @@ def _soft(before: str, after: str) -> bool:
     return first in "$€£%" or first.isdigit()
 
 
+def _closings(text: str) -> dict[int, int]:
+    """Where each quotation mark or bracket that opens is closed, however far on. Marks in code, headings and table rows do not count,
+    and the bracket of a list number closes only within its paragraph."""
+    closed: dict[int, int] = {}
+    running: dict[str, list[int]] = {mark: [] for mark in [*_OPENING.values(), '"']}
+    gap = -1
+    for m in _MARK.finditer(text):
+        mark, at, kind = m.group()[-1:], m.end() - 1, m.lastgroup
+        if kind == "gap":
+            gap = at
+        elif kind == "number":
+            if running["("] and running["("][-1] > gap:
+                closed[running["("].pop()] = at
+        elif kind:
+            continue
+        elif mark == '"':
+            free = at == 0 or text[at - 1].isspace() or text[at - 1] in "([{（「『【“"
+            tight = at + 1 < len(text) and not text[at + 1].isspace() and text[at + 1] not in ",.;:!?)]}、。）」』】”"
+            if tight and free or not running[mark] and (tight or free):
+                running[mark] = [at]
+            elif running[mark]:
+                closed[running[mark].pop()] = at
+        elif mark in _OPENING:
+            if running[_OPENING[mark]]:
+                closed[running[_OPENING[mark]].pop()] = at
+        else:
+            running[mark].append(at)
+    return closed
+
+
 def natural_boundaries(text: str) -> list[int]:
     """Offsets (in code points, ascending, without 0) of the first character of every natural unit."""
     starts: set[int] = set()
@@ -95,8 +130,14 @@ def natural_boundaries(text: str) -> list[int]:
                 opened = m.start()
                 starts.add(opened)
 
-    for m in _TOKEN.finditer(text):
+    closed = _closings(text)
+    end = 0
+    while m := _TOKEN.search(text, end):
         kind, at, end = m.lastgroup, m.start(), m.end()
+        if kind == "bracket":
+            if at not in closed:
+                continue  # plain text
+            end = closed[at] + 1
         begin(at)
         if kind in ("fence", "line", "item", "table"):
             solid = _SOLID.search(text, at, end)

@@ -72,3 +72,26 @@ def test_frames(spark):
     assert split_items(df.limit(0), "id", "text").count() == 0 == boundaries(df.limit(0), "id", "text").count()
     with pytest.raises(ValueError):
         split_items(df, "id", "text", limit=50)
+
+
+LONG_EN, LONG_JA = "The old cat sat near a door. " * 40, "猫が戸の前で静かに寝ていた。" * 60
+
+
+@pytest.mark.parametrize("quoted", ["“" + LONG_EN + "”", "(" + LONG_EN + ")", '"' + LONG_EN.strip().replace("door. The", "door.\nThe") + '"', "(see (" + LONG_EN + ") and more)"])
+def test_long_quotations_and_brackets_are_one_unit(quoted):
+    text = "He began " + quoted + " and left. Then it rained."
+    assert natural_boundaries(text) == [text.index("Then")]
+
+
+@pytest.mark.parametrize("a,b", ["「」", "『』", "（）", "【】"])
+def test_long_japanese_quotations_are_one_unit(a, b):
+    text = f"彼は{a}{LONG_JA}{a}犬。{b}{LONG_JA}{b}と言った。雨が降った。"
+    assert natural_boundaries(text) == [text.index("雨")]
+
+
+@pytest.mark.parametrize("mark", ["“", "(", '"'])
+def test_marks_that_never_close_are_plain_text(mark):
+    text = f"He began {mark}so it went. " + LONG_EN + "Then (it rained. Really.) and so on. The end."
+    assert len(natural_boundaries(text)) == 42 and text.index("The end") in natural_boundaries(text)
+    assert natural_boundaries("It cost (cf. vol.\n3) our ash. The end.") == [30]
+    assert len(natural_boundaries('It is 5" wide. ' + LONG_EN + 'One is 7", he said. The end.')) == 42
