@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ BLOCK = 4096
 def knn_topk(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = 10, threshold: float | None = None) -> DataFrame:
     """(query_id, doc_id, distance, rank) with distance = 1 - cosine, rounded to 6 decimals; of equals the smaller id comes first.
 
-    threshold: the greatest distance that counts. Rows and queries whose vector is null, zero, not finite or of another length than
-    the block's first take no part.
+    threshold: the greatest distance that counts. Rows and queries whose vector is null, zero or not finite take no part; every query
+    meets the rows of its own length.
     """
     kinds = queries.schema[query_key].dataType.simpleString(), rows.schema[key].dataType.simpleString()
     usable = lambda c: F.col(c).isNotNull() & F.forall(c, lambda e: e.isNotNull() & ~F.isnan(e)) & F.exists(c, lambda e: e != 0)
@@ -32,16 +33,17 @@ def knn_topk(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_k
     out = None
     for n in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n).orderBy("q").toArrow()
-        ids = part["q"].combine_chunks() if part.num_rows else pa.array([], part.schema.field("q").type)
-        dim = len(part["v"][0]) if part.num_rows else 0
-        fit = [i for i in range(part.num_rows) if len(part["v"][i]) == dim]
-        ids = ids.take(pa.array(fit, pa.int64()))
-        q = np.array([part["v"][i].as_py() for i in fit], np.float64).reshape(len(fit), dim)
-        q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q
-
-        def run(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, q: np.ndarray = q, dim: int = dim) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(q):
+        sizes = pc.list_value_length(part["v"]).to_numpy()
+        groups = []  # of each vector length: the length, query ids, unit vectors
+        for dim in np.unique(sizes).tolist():
+            of_length = part.filter(pa.array(sizes == dim)).combine_chunks()
+            q = np.array(of_length["v"].to_pylist(), np.float64)
+            groups.append((dim, of_length["q"].combine_chunks(), q / np.linalg.norm(q, axis=1, keepdims=True)))
+
+        def run(batches: Iterator[pa.RecordBatch], groups: list[tuple[int, pa.Array, np.ndarray]] = groups) -> Iterator[pa.RecordBatch]:
+            for whole, (dim, ids, q) in ((b, g) for b in batches for g in groups):
+                batch = whole.filter(pc.equal(pc.list_value_length(whole.column(1)), dim))
+                if not batch.num_rows:
                     continue
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 d = np.round(1 - q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
@@ -54,6 +56,6 @@ def knn_topk(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_k
                     a, b = np.nonzero(np.isfinite(d))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), batch.column(0).take(pa.array(b)), pa.array(d[a, b])], names=["query_id", "doc_id", "distance"])
 
-        near = rows.filter(usable(vector) & (F.size(vector) == dim)).select(key, F.col(vector).cast("array<double>")).mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, distance double")
+        near = rows.filter(usable(vector) & F.size(vector).isin([dim for dim, _, _ in groups])).select(key, F.col(vector).cast("array<double>")).mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, distance double")
         out = near if out is None else out.unionByName(near)
     return best(out, k, "distance", descending=False)

@@ -106,6 +106,16 @@ def test_search(spark):
     assert knn_topk(vec.limit(0), "id", "v", vec.filter("id = 1"), "id", "v").count() == 0 == knn_topk(vec, "id", "v", vec.limit(0), "id", "v").count()
 
 
+def test_nearest_of_queries_of_several_lengths(spark):
+    vec = spark.createDataFrame([(1, [1.0]), (2, [1.0, 0.0]), (3, [1.0, 1.0]), (4, [-2.0]), (5, [0.0, 3.0]), (6, [0.0, 0.0, 1.0]), (7, None)], "id long, v array<double>")
+    near = knn_topk(vec, "id", "v", vec.filter("id <> 6"), "id", "v", 2)
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["distance"]) for r in near.collect()}
+    assert got == {
+        (1, 1): (1, 0.0), (1, 2): (4, 2.0), (4, 1): (4, 0.0), (4, 2): (1, 2.0), (2, 1): (2, 0.0), (2, 2): (3, 0.292893),
+        (3, 1): (3, 0.0), (3, 2): (2, 0.292893), (5, 1): (5, 0.0), (5, 2): (3, 0.292893),
+    }
+
+
 def test_fusion(spark):
     v = spark.createDataFrame([(1, 10, 0.1), (1, 11, 0.5)], "query_id long, doc_id long, distance double")
     k = spark.createDataFrame([(1, 11, 3.0)], "query_id long, doc_id long, score double")
