@@ -1,9 +1,12 @@
-"""Session helpers: settings that the operators rely on, table loading, and spreading of small inputs."""
+"""Session helpers: settings that the operators rely on, table loading, and dealing rows out to tasks on request."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The setting by which a caller asks for rows to be dealt out before Python stages.
+DEAL = "spark.shirabe.deal"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings that change results, not resources: UTC as session time zone and the Java regular-expression dialect.
@@ -20,11 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
-    """``df``, dealt out to all cores where its input is under ``least`` bytes a core, as one small file would keep a single core busy.
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as it is read; where the caller has set ``spark.shirabe.deal``, dealt out to that many tasks, whatever its size.
 
-    By the plan's own size estimate, so nothing runs for it. Larger inputs come in enough splits of their own and are not shuffled.
+    For input in a few files that cannot be split, which would keep a few cores busy. Unset, nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if 1 < cores and size < cores * least else df
+    tasks = df.sparkSession.conf.get(DEAL, None)
+    return df.repartition(int(tasks)) if tasks else df
