@@ -1,65 +1,64 @@
 """The main body of web pages, line by line: flat text blocks classified by a decision tree.
 
-Every line with text is a block, described by its word count, link density and form, by those of its neighbours, and by the nearest
-lines before and after it whose short text is known as a landmark (a menu entry, cookie notice, heading of related pages, footer).
-Landmark texts and tree are learned from a small labelled table; a page is classified within its own row, so nothing is shuffled but
-one narrow row for each page, which is checked against the status in the crawl log.
+Every line with text is a block, described by its word count, link density and form, by those of its neighbours, and by where it lies
+between the page's links, headings, long sentences and template lines. A template line is one whose form (names and numbers left out)
+stands on many pages of the same collection; no text of any page is stored with the operator. The tree is learned from a small
+labelled table of such descriptions.
+
+Costs at scale: one pass over the pages that counts line forms (the hashes of different pages, combined before each of its two exchanges) and one that classifies each
+page within its own row. What is sent to the executors is bounded: at most 1 / SHARE_LEAST line forms can be that common.
 """
 
 from __future__ import annotations
 
-import csv
 import html
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from importlib import resources
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shirabe.session import spread
 
+#: The least share of all lines at which a line form counts as known; so there are at most 1 / SHARE_LEAST of them.
+SHARE_LEAST = 1e-5
+#: The share, in powers of ten above SHARE_LEAST, from which a line counts as a template line.
+TEMPLATE = 1.7
+
 _SILENT = re.compile(r"<(script|style|title)\b[^>]*>.*?(?:</\1>|$)", re.DOTALL)
 _TAG = re.compile(r"</?[a-zA-Z!][^>]*>")
 _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)(?:</a>|$)")
 _MARK_LINK = re.compile(r"!?\[([^\]]*)\]\([^)\s]*\)")
 _LEAD = re.compile(r"^(?:#{1,6}\s+|[-*+•・‣]\s*|\d{1,3}[.)]\s+)")
-_NAME = re.compile(r"\b[A-Z][a-z]+\b")
-_DIGITS = re.compile(r"\d+")
 _CODE = re.compile(r"^(?:    |\t|def |return |import |class |for |if |\}|\{)")
-_SHAPES = ((1, re.compile(r"^[A-Z][a-z]+は")), (2, re.compile(r"^[A-Z][a-z]+$")), (3, re.compile(r"^\S.{0,30} [›>»] \S")))
 _HEAD = re.compile(r"<h([1-6])\b")
+_FIRST_TAG = re.compile(r"<([a-z]+)")
+_DIGIT = re.compile(r"\d")
+_CAPITAL = re.compile(r"\b[A-Z][a-z]+\b")
+_DIVIDED = re.compile(r" [›>»·|/–—-] ")
+_TAGS = {"p": 1, "li": 2, "div": 3, "span": 4, "a": 5, "b": 6, "td": 7, "tr": 7, "pre": 8, "section": 9}
+_ENDS = ".!?。！？…♪」』”\"）)"
 
-#: Roles of labelled lines. "body" is the main body; the others are kinds of boilerplate.
-ROLES = ("none", "nav", "cookie", "crumb", "by", "share", "author", "rel", "comh", "com", "footer", "err", "body")
-_CODE_OF = {r: i for i, r in enumerate(ROLES)}
-_FRONT = frozenset(_CODE_OF[r] for r in ("nav", "cookie", "crumb", "err"))
-_STRUCTURE = frozenset(_CODE_OF[r] for r in ("nav", "cookie", "crumb", "rel", "comh", "footer", "err"))
-_SHORT = 120
-FEATURES = (
-    "words", "links", "sentence", "code", "bullet", "classed", "heading", "table", "shape", "role",
-    "words_before", "words_after", "links_before", "links_after", "classed_before", "classed_after", "role_before", "role_after",
-    "last_mark", "next_mark", "since_mark", "till_mark", "seen_content", "seen_rel", "seen_comments", "seen_footer", "seen_front", "front_ahead",
-)
-
-
-class Block:
-    """One line with text."""
+#: What a block says of itself. share: how common its form is, in powers of ten above SHARE_LEAST.
+OWN = ("words", "links", "sentence", "code", "bullet", "classed", "heading", "table", "tag", "digits", "capitals", "colon", "divided", "stops", "commas")
+_NEAR = ("words", "links", "sentence", "bullet", "classed", "heading", "table", "tag", "share")
+_AT_TEMPLATE = ("words", "links", "sentence", "heading", "share")
 
-    __slots__ = ("line", "text", "words", "links", "sentence", "code", "bullet", "classed", "heading", "table", "shape")
 
-
-def block_of(line_no: int, raw: str) -> Block | None:
-    """The block of a line, or None for a blank line or one of markup alone (scripts, styles and the title element count as markup)."""
+def block_of(raw: str) -> tuple | None:
+    """What a line says of itself, in order of OWN, or None for a blank line or one of markup alone (scripts, styles and the title element count as markup)."""
     text = raw.rstrip()
     if not text:
         return None
-    classed, heading, table, linked, bullet = 0, 0, 0, 0, 0
+    classed, heading, table, linked, bullet, tag = 0, 0, 0, 0, 0, 0
     code = 1 if _CODE.match(text) else 0
     if "<" in text:
+        first = _FIRST_TAG.search(text)
+        tag = _TAGS.get(first[1], 10) if first else 0
         if "<s" in text or "<t" in text:
             text = _SILENT.sub("", text)
         if "<a" in text:
@@ -88,82 +87,81 @@ def block_of(line_no: int, raw: str) -> Block | None:
         return None
     if not table and text.count(" | ") + text.count("\t") >= 2:
         table = 1
-    b = Block()
-    b.line, b.text, b.code, b.bullet, b.classed, b.heading, b.table = line_no, text, code, bullet, classed, heading, table
-    b.words = len(text.split()) if text.isascii() else max(1, len(text) // 2)
-    b.links = min(1.0, linked / len(text))
-    b.sentence = 1 if text[-1] in ".!?。！？…♪」』”\"）)" else 0
-    b.shape = next((k for k, p in _SHAPES if p.match(text)), 0)
-    return b
-
-
-def keys_of(text: str) -> list[str]:
-    """The keys under which a short text, or the part before its colon, may be known: as it is, then without names and numbers."""
-    out = []
-    if len(text) <= _SHORT:
-        out = ["=" + text, "~" + _DIGITS.sub("0", _NAME.sub("W", text))]
-    head, colon, rest = text[:40].partition(":")
-    if colon and rest[:1] == " " and len(head) <= 25:
-        out += [":" + head, ";" + _DIGITS.sub("0", _NAME.sub("W", head))]
-    return out
-
-
-def blocks_of(body: str) -> list[Block]:
-    return [b for b in (block_of(i, raw) for i, raw in enumerate(body.split("\n"))) if b is not None]
-
-
-def describe(blocks: Sequence[Block], landmarks: dict[str, int], seen: dict[str, int] | None = None) -> np.ndarray:
-    """The feature rows of a page's blocks, in order of FEATURES."""
-    n = len(blocks)
-    out = np.zeros((n, len(FEATURES)), np.float32)
+    size = len(text)
+    words = len(text.split()) if text.isascii() else max(1, size // 2)
+    colon = text.find(":")
+    if colon < 0:
+        colon = text.find("：")
+    return (
+        words, min(1.0, linked / size), 1 if text[-1] in _ENDS else 0, code, bullet, classed, heading, table, tag,
+        len(_DIGIT.findall(text)) / size, len(_CAPITAL.findall(text)) / words, 1 if 0 <= colon < 40 else 0, len(_DIVIDED.findall(text)),
+        sum(map(text.count, ".!?。！？")), text.count(",") + text.count("、"),
+    )
+
+
+def describe(own: np.ndarray, line: np.ndarray, share: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """The feature rows of the blocks of many pages at once, ``page`` ascending: of each block itself, of its neighbours up to two away,
+    of the stretch around it, and of the way to the nearest links, headings, long sentences, gaps and template lines of its own page."""
+    n = len(own)
     if not n:
-        return out
-    cache = {} if seen is None else seen
-    if len(cache) > 100_000:
-        cache.clear()
-    roles = []
-    for b in blocks:
-        role = cache.get(b.text)
-        if role is None:
-            role = next((landmarks[k] for k in keys_of(b.text) if k in landmarks), 0)
-            cache[b.text] = role
-        roles.append(role)
-    ahead, ahead_at, front_ahead = [0] * n, [0] * n, [0] * n
-    mark, at, front = 0, n, 0
-    for i in range(n - 1, -1, -1):
-        ahead[i], ahead_at[i], front_ahead[i] = mark, at, front
-        if roles[i] in _STRUCTURE:
-            mark, at = roles[i], i
-            front = front or roles[i] in _FRONT
-    mark, at = 0, -1
-    content = rel = comments = footer = seen_front = 0
-    rows = []
-    for i, b in enumerate(blocks):
-        p = blocks[i - 1] if i else None
-        q = blocks[i + 1] if i + 1 < n else None
-        rows.append((
-            b.words, b.links, b.sentence, b.code, b.bullet, b.classed, b.heading, b.table, b.shape, roles[i],
-            p.words if p else 0, q.words if q else 0, p.links if p else 0, q.links if q else 0, p.classed if p else 0, q.classed if q else 0,
-            roles[i - 1] if p else 0, roles[i + 1] if q else 0,
-            mark, ahead[i], min(99, i - at), min(99, ahead_at[i] - i), min(content, 99), rel, comments, footer, seen_front, front_ahead[i],
-        ))
-        r = roles[i]
-        if r in _STRUCTURE:
-            mark, at = r, i
-            rel |= r == _CODE_OF["rel"]
-            comments |= r == _CODE_OF["comh"]
-            footer |= r == _CODE_OF["footer"]
-            seen_front |= r in _FRONT
-        elif r == 0:
-            content += 1
-    out[:] = rows
-    return out
+        return np.zeros((0, 1), np.float32)
+    at = np.arange(n)
+    first = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+    lo = np.repeat(first, np.diff(np.r_[first, n]))  # the page's first block, and the place after its last
+    hi = np.repeat(np.r_[first[1:], n], np.diff(np.r_[first, n]))
+    own = own.astype(np.float32)
+    share = share.astype(np.float32)
+    both = np.c_[own, share]
+    pick = [([*OWN, "share"]).index(k) for k in _NEAR]
+    out = [both, np.where(at > lo, line - np.r_[0, line[:-1]], 10)[:, None] - 1, np.where(at + 1 < hi, np.r_[line[1:], 0] - line, 10)[:, None] - 1]
+    for off in (-2, -1, 1, 2):
+        to = at + off
+        inside = (to >= lo) & (to < hi)
+        out.append(np.where(inside[:, None], both[np.clip(to, 0, n - 1)][:, pick], 0))
+    words, links = own[:, 0].astype(np.float64), own[:, 1].astype(np.float64)
+    every, linked = np.r_[0.0, np.cumsum(words)], np.r_[0.0, np.cumsum(words * links)]
+    for r in (3, 6):
+        a, b = np.maximum(lo, at - r), np.minimum(hi, at + r + 1)
+        out += [((linked[b] - linked[a]) / np.maximum(1, every[b] - every[a]))[:, None], ((every[b] - every[a]) / (b - a))[:, None]]
+    before, after, total = every[at] - every[lo], every[hi] - every[at], np.maximum(1, every[hi] - every[lo])
+    out.append(
+        np.c_[
+            before / total, (linked[at + 1] - linked[lo]) / np.maximum(1, every[at + 1] - every[lo]), (linked[hi] - linked[at]) / np.maximum(1, after),
+            np.minimum(at - lo, 99), np.minimum(hi - at, 99),
+        ]
+    )
+    gap = out[1][:, 0] > 0
+
+    def ways(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The last flagged block before, the next after (or -1, n outside the page), and how many there are up to here and after."""
+        prior = np.r_[-1, np.maximum.accumulate(np.where(flag, at, -1))[:-1]]
+        later = np.r_[np.minimum.accumulate(np.where(flag, at, n)[::-1])[::-1][1:], n]
+        count = np.r_[0, np.cumsum(flag)]
+        return np.where(prior >= lo, prior, -1), np.where(later < hi, later, n), count[at + 1] - count[lo], count[hi] - count[at + 1]
+
+    for flag in (links > 0.5, own[:, 6] > 0, (words >= 12) & (links < 0.3) & (own[:, 2] > 0), gap):
+        prior, later, so_far, left = ways(flag)
+        out.append(np.c_[np.where(prior < 0, 99, np.minimum(99, at - prior)), np.where(later == n, 99, np.minimum(99, later - at)), np.minimum(so_far, 99), np.minimum(left, 99)])
+    template = share > TEMPLATE
+    prior, later, so_far, left = ways(template)
+    own_text = np.r_[0.0, np.cumsum(words * (links < 0.5) * ~template)]  # words outside links and template lines
+    told = np.vstack([both[:, [([*OWN, "share"]).index(k) for k in _AT_TEMPLATE]], np.zeros((1, len(_AT_TEMPLATE)), np.float32)])
+    p, q = np.where(prior < 0, lo, prior), np.minimum(later, hi - 1)
+    out += [told[np.where(prior < 0, n, prior)], told[later]]
+    out.append(
+        np.c_[
+            np.where(prior < 0, 99, np.minimum(99, at - prior)), np.where(later == n, 99, np.minimum(99, later - at)),
+            own_text[at] - own_text[lo], own_text[hi] - own_text[at], own_text[p] - own_text[lo], own_text[hi] - own_text[q], own_text[at] - own_text[p],
+            np.minimum(so_far, 99), np.minimum(left, 99),
+        ]
+    )
+    return np.concatenate(out, axis=1).astype(np.float32)
 
 
 class Tree:
     """A binary decision tree (Gini), as arrays; grown on a small table in memory."""
 
-    def __init__(self, depth: int = 12, least: int = 4):
+    def __init__(self, depth: int = 14, least: int = 3):
         self.depth, self.least = depth, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Tree:
@@ -214,42 +212,38 @@ class Tree:
         return self.value[at] >= 0.5
 
 
-def learn(rows: Sequence[tuple[str, str, list[str], tuple]], uses: int = 2) -> tuple[dict[str, int], Tree]:
-    """(landmarks, tree) from labelled blocks (page, role, keys, own features as in Block). A key is a landmark where it is used on
-    ``uses`` pages at least and nine in ten of its uses have one role other than the body."""
-    pages: dict[str, list] = defaultdict(list)
-    for row in rows:
-        pages[row[0]].append(row)
-    votes: dict[str, Counter] = defaultdict(Counter)
-    for page in pages.values():
-        for k, role in {(k, r[1]) for r in page for k in r[2]}:
-            votes[k][role] += 1
-    landmarks = {}
-    for k, v in votes.items():
-        role, n = v.most_common(1)[0]
-        if n >= uses and role != "body" and n >= 0.9 * sum(v.values()):
-            landmarks[k] = _CODE_OF[role]
-    xs, ys = [], []
-    for page in pages.values():
-        blocks = []
-        for i, (_, role, keys, own) in enumerate(page):
-            b = Block()
-            b.line, b.text = i, "\n".join(keys)
-            b.words, b.links, b.sentence, b.code, b.bullet, b.classed, b.heading, b.table, b.shape = own
-            blocks.append(b)
-            ys.append(role == "body")
-        xs.append(describe(blocks, landmarks, {b.text: next((landmarks[k] for k in b.text.split("\n") if k in landmarks), 0) for b in blocks}))
-    return landmarks, Tree().fit(np.concatenate(xs), np.array(ys))
-
-
-def labelled_table() -> list[tuple[str, str, list[str], tuple]]:
-    """The labelled lines that come with the package: page, role, keys (divided by U+001F) and the block's own features."""
-    out = []
-    with resources.files("shirabe.llm").joinpath("resources/labelled_lines.csv").open(encoding="utf-8", newline="") as f:
-        for page, role, keys, *own in csv.reader(f):
-            words, links, *flags = own
-            out.append((page, role, keys.split("\x1f") if keys else [], (int(words), float(links), *map(int, flags))))
-    return out
+def labelled_table() -> dict[str, np.ndarray]:
+    """The labelled lines that come with the package, as columns: site, page, line, body (the label), share, and those of OWN. No text."""
+    with resources.files("shirabe.llm").joinpath("resources/labelled_lines.parquet").open("rb") as f:
+        table = pq.read_table(f)
+    return {c: table[c].to_numpy() for c in table.column_names}
+
+
+def learn(rows: dict[str, np.ndarray], shares: bool = True) -> Tree:
+    """The tree from labelled lines, in order of their pages. Without ``shares`` every line counts as unknown to other pages."""
+    own = np.stack([rows[c] for c in OWN], axis=1)
+    return Tree().fit(describe(own, rows["line"], rows["share"] if shares else np.zeros(len(own)), rows["page"]), rows["body"])
+
+
+def line_forms(body: Column) -> Column:
+    """A hash for the form of each line: its text without markup, names and numbers. 0 for a line without text. JVM only."""
+    plain = lambda t: F.regexp_replace(t, r"<[^>]*>|\]\([^)\s]*\)|^[#*\-+•・‣\[\s]+|[*_`\s]+$", "")
+    form = lambda t: F.trim(F.regexp_replace(F.regexp_replace(plain(t), r"[0-9]+", "0"), r"\b[A-Z][a-z]+\b", "W"))
+    return F.transform(F.transform(F.split(body, "\n"), form), lambda t: F.when(t == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(t)))
+
+
+def common_forms(pages: DataFrame, body: str) -> dict[int, float]:
+    """How common each line form is that stands on many pages: the pages besides one, over all lines, in powers of ten above SHARE_LEAST.
+
+    Copies of one page, but for names and numbers, count once, so that a page that is copied often does not look like a template. The
+    counts of all forms at or above SHARE_LEAST add up to no more than all lines, so at most 1 / SHARE_LEAST forms reach the driver.
+    """
+    texts = pages.select(F.col(body).alias("b")).filter(F.length("b") > 0)
+    lines = texts.agg(F.sum(F.length("b") - F.length(F.replace("b", F.lit("\n"))) + 1).alias("n")).first()["n"] or 0
+    once = texts.select(F.array_distinct(line_forms(F.col("b"))).alias("f")).withColumn("d", F.xxhash64("f")).dropDuplicates(["d"])
+    forms = once.select(F.explode("f").alias("h")).filter(F.col("h") != 0).groupBy("h").agg((F.count(F.lit(1)) - 1).alias("n"))
+    found = forms.filter(F.col("n") >= max(1.0, SHARE_LEAST * lines)).toArrow()
+    return dict(zip(found["h"].to_pylist(), (np.log10(found["n"].to_numpy() / max(1, lines)) - np.log10(SHARE_LEAST)).tolist()))
 
 
 def main_lines(pages: DataFrame, key: str, body: str, log: DataFrame, log_key: str, status: str) -> DataFrame:
@@ -259,29 +253,44 @@ def main_lines(pages: DataFrame, key: str, body: str, log: DataFrame, log_key: s
     other status than 200 has no body; one that the log does not name counts as 200. Null and empty bodies have none. Repeated rows
     give repeated results; empty tables give an empty table; further columns are not read.
     """
-    landmarks, tree = learn(labelled_table())
+    tree = learn(labelled_table())
+    shares = common_forms(pages, body)
     key_type = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        known = shares.get
         for batch in batches:
-            every, features = [], []
-            for t in batch.column(1).to_pylist():
-                blocks = blocks_of(t)
-                every.append([b.line for b in blocks])
-                features.append(describe(blocks, landmarks, seen))
-            if not every:
-                continue
-            good = tree.predict(np.concatenate(features)).tolist()
-            rows, lines, at = [], [], 0
-            for i, numbers in enumerate(every):
-                own = [n for n, g in zip(numbers, good[at : at + len(numbers)]) if g]
-                at += len(numbers)
-                if own:
-                    rows.append(i)
-                    lines.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lines, pa.list_(pa.int64()))], names=[key, "lines"])
-
-    found = spread(pages.select(key, body)).filter(F.length(body) > 0).mapInArrow(run, f"`{key}` {key_type}, lines array<bigint>")
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                own, line, share, page = [], [], [], []
+                for k, (text, forms) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    for i, raw in enumerate(text.split("\n")):
+                        b = block_of(raw)
+                        if b is not None:
+                            own.append(b)
+                            line.append(i)
+                            page.append(k)
+                            share.append(known(forms[i], 0.0))
+                if not own:
+                    continue
+                page_of, line_of = np.array(page), np.array(line)
+                good = tree.predict(describe(np.array(own), line_of, np.array(share), page_of))
+                row, line_of = page_of[good], line_of[good]
+                first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.array(line_of, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[first], pa.int64())), lists], names=[key, "lines"])
+
+    texts = spread(pages.select(F.col(key), F.col(body).alias("_body"))).filter(F.length("_body") > 0)
+    found = texts.select(key, "_body", line_forms(F.col("_body")).alias("_forms")).mapInArrow(run, f"`{key}` {key_type}, lines array<bigint>")
     failed = log.filter(F.col(log_key).isNotNull()).groupBy(F.col(log_key).alias(key)).agg(F.max(F.coalesce(F.col(status) == 200, F.lit(False))).alias("_fine")).filter(~F.col("_fine"))
     return found.join(failed.select(key), key, "left_anti")
+
+
+def judge(tree: Tree, body: str, shares: Sequence[float]) -> list[int]:
+    """The main-body lines of one page, given how common each of its lines is."""
+    blocks = [(i, b) for i, b in enumerate(map(block_of, body.split("\n"))) if b is not None]
+    if not blocks:
+        return []
+    line = np.array([i for i, _ in blocks])
+    good = tree.predict(describe(np.array([b for _, b in blocks]), line, np.array([shares[i] for i in line]), np.zeros(len(blocks), np.int64)))
+    return line[good].tolist()
