@@ -3,14 +3,16 @@
 1. A rotation is learned on a bounded sample (principal axes, then iterative quantisation), so that the signs of a rotated vector
    form a 64-bit code whose Hamming distance follows the angle.
 2. Vectors are routed to leaves of about ``leaf_rows`` rows by a tree of learned directions with thresholds in sparse places. A
-   vector near a threshold goes to both sides as data, but is a query only in its home leaf, so each query ends in one task.
+   vector near a threshold goes to the other side as well, but to ``most`` leaves at most in all, however deep the tree is, and it is
+   a query only in its home leaf, so each query ends in one task. Each leaf is a partition of its own. One that turns out larger than
+   planned (the tree is learned on a sample) is divided again in the task that holds it, until its parts are of leaf size.
 3. In a leaf the codes are split into eight substrings, each indexed. By the pigeonhole principle two codes within Hamming distance
-   7 share a substring, so probing the eight tables returns every code of that radius (and most within ``radius``). The candidates
-   are reranked by their floats, the best by cosine in double precision. A query that the tables leave with fewer than k candidates
-   scans its leaf.
+   7 share a substring, so probing the eight tables returns every code of that radius (and most within ``radius``). A query that
+   this leaves with fewer than k candidates probes the substrings at distance 1, which covers all codes within 15, then at distance 2,
+   which covers 23, and so on, until it has 3 k. The candidates are reranked by their floats, the best by cosine in double precision.
 
-Costs at scale: one shuffle by id (latest row), one by leaf (about twice the vectors), narrow otherwise. Copies of one vector are
-collapsed to their k + 1 smallest ids before routing, so that a hot group of copies never meets in one task.
+Costs at scale: one shuffle by id (latest row), one by leaf (at most ``most`` times the vectors), narrow otherwise. Vectors of one
+direction, whatever their length, are collapsed to their k + 1 smallest ids before routing, so that a hot group never meets in one task.
 """
 
 from __future__ import annotations
@@ -24,15 +26,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-K, RADIUS, LEAF_ROWS, MARGIN = 10, 16, 16_384, 0.1
+K, RADIUS, LEAF_ROWS, MARGIN, MOST = 10, 16, 16_384, 0.1, 4
 #: Bounds of the sample that the rotation and the routing tree are fitted on: N / 128 rows, between these.
-SAMPLE_LEAST, SAMPLE_MOST = 20_000, 1_000_000
+SAMPLE_LEAST, SAMPLE_MOST = 20_000, 400_000
+#: Decimals of a unit vector's components to which directions count as one, and the share of all rows from which a group of one direction is joined by broadcast (so at most 1 / HOT_SHARE groups are).
+DECIMALS, HOT_SHARE = 5, 1e-4
 _LOW, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
 
 @dataclass
 class Model:
-    """mean and rotation of the codes; the routing tree as arrays (direction, threshold, margin, children; a leaf has child -1)."""
+    """mean and rotation of the codes; the routing tree as arrays (direction, threshold, margin, children; a leaf has child -1, and its number in ``leaf``)."""
 
     mean: np.ndarray
     rotation: np.ndarray
@@ -41,6 +45,10 @@ class Model:
     margins: np.ndarray
     children: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.leaf = np.cumsum(self.children[:, 0] < 0) - 1
+        self.leaves = int(self.leaf[-1]) + 1
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
@@ -101,20 +109,29 @@ def learn_routing(x: np.ndarray, leaf: int, margin: float) -> tuple[np.ndarray,
     return np.array(dirs), np.array(ths), np.array(margins), np.array(kids)
 
 
-def route(x: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, is home) of unit rows ``x``: one home leaf each, and further leaves for rows near a threshold."""
-    out, stack = [], [(0, np.arange(len(x)), np.ones(len(x), bool))]
-    while stack:
-        node, rows, home = stack.pop()
-        left, right = model.children[node]
-        if left < 0 or not len(rows):
-            out.append((rows, np.full(len(rows), node), home))
-            continue
-        d = x[rows] @ model.directions[node] - model.thresholds[node]
-        m = model.margins[node]
-        stack.append((left, rows[d <= m], home[d <= m] & (d[d <= m] <= 0)))
-        stack.append((right, rows[d > -m], home[d > -m] & (d[d > -m] > 0)))
-    return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
+def route(x: np.ndarray, model: Model, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, is home) of unit rows ``x``: one home leaf each, and the nearest further leaves for rows near thresholds, ``most`` in all."""
+    row = np.arange(len(x))
+    node, away = np.zeros(len(x), np.int64), np.zeros(len(x))  # away: squared way across the thresholds passed, -1 at home
+    away -= 1
+    while True:
+        inner = np.flatnonzero(model.children[node, 0] >= 0)
+        if not len(inner):
+            break
+        r, n = row[inner], node[inner]
+        d = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", x[r[i : i + 50_000]], model.directions[n[i : i + 50_000]]) for i in range(0, len(r), 50_000))]) - model.thresholds[n]
+        side = (d > 0).astype(np.int64)
+        node[inner] = model.children[n, side]
+        cross = np.flatnonzero(np.abs(d) <= model.margins[n])
+        row = np.concatenate([row, r[cross]])
+        node = np.concatenate([node, model.children[n[cross], 1 - side[cross]]])
+        away = np.concatenate([away, np.maximum(0, away[inner[cross]]) + d[cross] ** 2])
+        order = np.lexsort((away, row))
+        row, node, away = row[order], node[order], away[order]
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+        keep = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)])) < most
+        row, node, away = row[keep], node[keep], away[keep]
+    return row, model.leaf[node], away < 0
 
 
 def codes_of(x: np.ndarray, model: Model) -> np.ndarray:
@@ -125,14 +142,20 @@ def codes_of(x: np.ndarray, model: Model) -> np.ndarray:
     return np.packbits(full, axis=1).view(np.uint64).ravel()
 
 
-def _probe(codes: np.ndarray, queries: np.ndarray, radius: int, block: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, row) pairs that share a substring and lie within ``radius``, each once, in blocks."""
+def _tables(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the eight substrings: its value in every row, the rows by value, and where each value's rows begin and how many they are."""
     subs = codes.view(np.uint8).reshape(-1, 8)
+    out = []
     for j in range(8):
-        order = np.argsort(subs[:, j], kind="stable").astype(np.int32)
         sizes = np.bincount(subs[:, j], minlength=256)
-        starts = np.cumsum(sizes) - sizes
-        own = subs[queries, j]
+        out.append((subs[:, j].copy(), np.argsort(subs[:, j], kind="stable").astype(np.int32), np.cumsum(sizes) - sizes, sizes))
+    return out
+
+
+def _probe(codes: np.ndarray, tables: list, queries: np.ndarray, radius: int, mask: int = 0, block: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, row) pairs whose codes differ by ``mask`` in a substring and lie within ``radius``, in blocks; for mask 0 each pair once."""
+    for j, (sub, order, starts, sizes) in enumerate(tables):
+        own = sub[queries] ^ np.uint8(mask)
         counts, first = sizes[own], starts[own]
         ends = np.cumsum(counts)
         cut = 0
@@ -146,7 +169,7 @@ def _probe(codes: np.ndarray, queries: np.ndarray, radius: int, block: int = 2_0
             r = order[np.arange(total) + np.repeat(first[cut:stop] - (np.cumsum(c) - c), c)]
             x = codes[q] ^ codes[r]
             keep = (np.bitwise_count(x) <= radius) & (r != q)
-            if j:  # met in an earlier table: one of the lower bytes is equal there
+            if j and not mask:  # met in an earlier table: one of the lower bytes is equal there
                 low = x | ~earlier
                 keep &= ((low - _LOW) & ~low & _HIGH) == 0
             yield q[keep], r[keep]
@@ -159,6 +182,7 @@ def nearest_in_leaf(x: np.ndarray, home: np.ndarray, model: Model, k: int, radiu
     small = full.astype(np.float32)
     queries = np.flatnonzero(home).astype(np.int32)
     codes = codes_of(full, model)
+    tables = _tables(codes)
     n = len(x)
     width = max(1, int(n - 1).bit_length())
     best = np.empty(0, np.int64)
@@ -175,32 +199,45 @@ def nearest_in_leaf(x: np.ndarray, home: np.ndarray, model: Model, k: int, radiu
         pos = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
         return keys[pos < most]
 
-    spare = k + 6
-    for q, r in _probe(codes, queries, radius):
+    def rerank(best: np.ndarray, q: np.ndarray, r: np.ndarray, spare: int, again: bool) -> np.ndarray:
         parts = []
         for i in range(0, len(q), 200_000):
             a, b = q[i : i + 200_000], r[i : i + 200_000]
             s = np.einsum("ij,ij->i", small[a], small[b])
             good = s > floor[a] - 2e-6
             parts.append(key(a[good], b[good], s[good]))
-        best = top(np.concatenate([best, *parts]), spare)
+        best = np.concatenate([best, *parts])
+        if again:
+            best = np.sort(best)
+            best = best[np.r_[True, best[1:] != best[:-1]]] if len(best) else best
+        best = top(best, spare)
         q_of = best >> np.int64(22 + width)
         full_rows = np.flatnonzero(np.bincount(q_of, minlength=n) >= spare)
         last = np.searchsorted(q_of, full_rows, side="right") - 1
         floor[full_rows] = 1 - ((best[last] >> np.int64(width)) & ((1 << 22) - 1)) / 1e6
-    found = np.bincount(best >> np.int64(22 + width), minlength=n)
-    short = queries[found[queries] < min(k, n - 1)]
-    for i in range(0, len(short), 256):
-        a = short[i : i + 256]
-        s = small[a] @ small.T
-        s[np.arange(len(a)), a] = -2
-        m = min(spare, n - 1)
-        if m < 1:
-            continue
-        cutoff = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
-        w, c = np.nonzero(s >= cutoff - 2e-6)
-        best = np.concatenate([best, key(a[w], c, s[w, c])])
-    best = np.unique(best) if len(short) else best
+        return best
+
+    for q, r in _probe(codes, tables, queries, radius):
+        best = rerank(best, q, r, k + 6, False)
+    least, left = min(k, n - 1), queries
+    for far in range(1, 9):  # the substrings at distance ``far``: with those before, every code within 8 * far + 7
+        found = np.bincount(best >> np.int64(22 + width), minlength=n)
+        left = left[found[left] < least]
+        if not len(left):
+            break
+        least = min(3 * k, n - 1)  # where codes tell little apart, so many candidates are needed for a good choice
+        poor = np.isin(best >> np.int64(22 + width), left)
+        own, rest = best[poor], best[~poor]
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for mask in (m for m in range(256) if m.bit_count() == far):
+            for q, r in _probe(codes, tables, left, max(radius, 8 * far + 7), mask):
+                waiting.append((q, r))
+                if sum(len(w[0]) for w in waiting) > 500_000:
+                    own = rerank(own, np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]), 3 * k, True)
+                    waiting = []
+        if waiting:
+            own = rerank(own, np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]), 3 * k, True)
+        best = np.sort(np.concatenate([rest, own]))
     q, r = best >> np.int64(22 + width), best & ((1 << width) - 1)
     cos = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", full[q[i : i + 100_000]], full[r[i : i + 100_000]]) for i in range(0, len(q), 100_000))])
     cos = np.round(cos, 6)
@@ -211,6 +248,24 @@ def nearest_in_leaf(x: np.ndarray, home: np.ndarray, model: Model, k: int, radiu
     return q[pos < k], r[pos < k], cos[pos < k]
 
 
+def neighbours(x: np.ndarray, home: np.ndarray, model: Model, k: int, radius: int, leaf_rows: int, margin: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, neighbour, cosine) of the home rows of one leaf; one of more than four times ``leaf_rows`` rows is divided again."""
+    if len(x) > 4 * leaf_rows:
+        full = unit(x)
+        tree = Model(model.mean, model.rotation, *learn_routing(full, leaf_rows, margin))
+        if tree.leaves > 1:
+            row, leaf, own = route(full, tree, most)
+            order = np.lexsort((row, leaf))
+            row, leaf, own = row[order], leaf[order], own[order]
+            start = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+            for a, b in zip(start, np.r_[start[1:], len(leaf)]):
+                rows = row[a:b]
+                q, r, cos = nearest_in_leaf(x[rows], home[rows] & own[a:b], model, k, radius)
+                yield rows[q], rows[r], cos
+            return
+    yield nearest_in_leaf(x, home, model, k, radius)
+
+
 def latest_vectors(df: DataFrame, key: str, vector: str, at: str, dim: int) -> DataFrame:
     """(id, v): the vector of each id's latest row, where it is ``dim`` long, finite and not all zero. A null time counts as the oldest;
     of rows of one time a vector goes before null, and the greater one before the smaller."""
@@ -227,29 +282,37 @@ def fit(df: DataFrame, key: str, vector: str, dim: int, rows: int, leaf_rows: in
     sample = good.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(vector).cast("array<float>").alias("v")).orderBy("h", "v").limit(size).select("v").toArrow()
     flat = sample["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if sample.num_rows else np.empty(0)
     x = unit(flat.reshape(-1, dim)) if len(flat) else np.empty((0, dim))
+    x = x[np.sort(np.unique(np.floor(x * 10.0**DECIMALS + 0.5), axis=0, return_index=True)[1])]  # a direction once, as in the leaves
     mean, rotation = learn_rotation(x[:20_000])
     leaf = max(64, int(len(x) * leaf_rows / max(1, rows)))
     return Model(mean, rotation, *learn_routing(x, leaf, margin))
 
 
-def similar_vectors(df: DataFrame, key: str, vector: str, at: str, k: int = K, dim: int = 64, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, margin: float = MARGIN) -> DataFrame:
+def similar_vectors(
+    df: DataFrame, key: str, vector: str, at: str, k: int = K, dim: int = 64, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, margin: float = MARGIN, most: int = MOST
+) -> DataFrame:
     """(id, neighbour_id, similarity): the k most similar other ids of every id with a usable vector.
 
     similarity: the cosine in double precision, rounded to 6 decimals; of equals the smaller id (by bytes) comes first. An id counts
-    with its latest row; vectors that are null, of another length, all zero or not finite take no part; null ids take no part. Copies
-    of one vector find each other with similarity 1. Repeated rows of an id are one. A table without usable vectors gives no rows.
-    Further columns are not read.
+    with its latest row; vectors that are null, of another length, all zero or not finite take no part; null ids take no part. Where
+    more than k + 1 vectors have one direction (to DECIMALS), those besides the k + 1 smallest ids find the smallest with similarity 1
+    and are nobody's neighbours. Repeated rows of an id are one. A table without usable vectors gives no rows. Further columns are
+    not read.
     """
     rows = df.count()  # from Parquet footers alone
     model = fit(df, key, vector, dim, rows, leaf_rows, margin)
     last = latest_vectors(df, key, vector, at, dim)
-    by_copy = Window.partitionBy("h").orderBy("id")
-    # a hot vector: only its k + 1 smallest ids can be anyone's neighbours; the group limit also holds before the shuffle
-    hashed = last.select("id", F.xxhash64("v").alias("h"))
-    heads = hashed.withColumn("n", F.row_number().over(by_copy)).filter(F.col("n") <= k + 1)
-    crowded = heads.filter(F.col("n") == k + 1).select("h")
-    hot = heads.join(crowded, "h", "left_semi")
-    surplus = hashed.join(crowded, "h", "left_semi").join(hot.select("id"), "id", "left_anti")
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
+    direction = F.xxhash64(F.transform("v", lambda e: F.floor(e.cast("double") / F.col("_length") * 10.0**DECIMALS + 0.5)))
+    hashed = last.withColumn("_length", length).select("id", direction.alias("h"))
+    # a hot direction: only its k + 1 smallest ids can be anyone's neighbours; the group limit also holds before the shuffle
+    heads = hashed.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("n") <= k + 1)
+    crowded = heads.groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") == k + 1)  # k + 1 ids at most
+    counts = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(counts.filter(F.col("n") >= max(float(k + 2), HOT_SHARE * rows)).select("h"))  # at most 1 / HOT_SHARE rows
+    hottest = F.broadcast(crowded.join(hot, "h", "left_semi"))
+    one_of = hashed.join(hottest, "h").unionByName(hashed.join(hot, "h", "left_anti").join(crowded.join(hot, "h", "left_anti"), "h"))
+    surplus = one_of.filter(~F.array_contains("ids", F.col("id")))
     kept = last.join(surplus.select("id"), "id", "left_anti")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,20 +321,24 @@ def similar_vectors(df: DataFrame, key: str, vector: str, at: str, k: int = K, d
                 continue
             v = batch.column(1)
             x = unit(v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-            row, leaf, home = route(x, model)
+            row, leaf, home = route(x, model, most)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(home), batch.column(0).take(take), v.take(take)], names=["leaf", "home", "id", "v"])
 
-    def search(group: pa.Table) -> pa.Table:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]  # one leaf
+        if not parts:
+            return
+        group = pa.Table.from_batches(parts)
         ids = group["id"].combine_chunks()
         order = pc.sort_indices(ids)
         ids, home = ids.take(order), group["home"].combine_chunks().take(order).to_numpy(zero_copy_only=False)
         x = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[order.to_numpy()]
-        q, r, cos = nearest_in_leaf(x, home, model, k, radius)
-        return pa.table({"id": ids.take(pa.array(q)), "neighbour_id": ids.take(pa.array(r)), "similarity": pa.array(cos)})
+        for q, r, cos in neighbours(x, home, model, k, radius, leaf_rows, margin, most):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), ids.take(pa.array(r)), pa.array(cos)], names=["id", "neighbour_id", "similarity"])
 
     key_type = df.schema[key].dataType.simpleString()
     routed = kept.mapInArrow(send, f"leaf int, home boolean, id {key_type}, v array<float>")
-    found = routed.groupBy("leaf").applyInArrow(search, f"id {key_type}, neighbour_id {key_type}, similarity double")
-    copies = surplus.join(hot.filter(F.col("n") <= k).select("h", F.col("id").alias("neighbour_id")), "h").select("id", "neighbour_id", F.lit(1.0).alias("similarity"))
+    found = routed.repartitionById(model.leaves, "leaf").select("home", "id", "v").mapInArrow(search, f"id {key_type}, neighbour_id {key_type}, similarity double")
+    copies = surplus.select("id", F.explode(F.slice("ids", 1, k)).alias("neighbour_id"), F.lit(1.0).alias("similarity"))
     return found.unionByName(copies)

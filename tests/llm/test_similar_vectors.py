@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from shirabe.llm.similar_vectors import similar_vectors
+from shirabe.llm.similar_vectors import Model, learn_routing, nearest_in_leaf, neighbours, route, similar_vectors, unit
 
 T0, T1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
 SCHEMA = "chunk_id string, embedding array<float>, embedded_at timestamp, id long, v string"
@@ -84,3 +84,51 @@ def test_unusable_and_latest(spark):
 @pytest.mark.parametrize("rows", [[], [("a", np.ones(64), T0)], [("a", None, T0)]])
 def test_nothing_to_pair(spark, rows):
     assert search(frame(spark, rows)).count() == 0
+
+
+def test_a_third_of_all_rows_in_one_direction(spark):
+    """Copies of every length: collapsed before routing, each with its own neighbours, and no leaf holds them all."""
+    rng = np.random.default_rng(3)
+    way, centres = rng.normal(size=64), rng.normal(size=(40, 64))
+    vectors = {f"c{i:05d}": centres[i % 40] + rng.normal(size=64) * 0.3 for i in range(1400)} | {f"h{i:05d}": way * (0.5 + i % 9) for i in range(700)}
+    got = {}
+    for r in search(frame(spark, [(i, v, T0) for i, v in vectors.items()]), leaf_rows=200).collect():
+        got.setdefault(r["id"], {})[r["neighbour_id"]] = r["similarity"]
+    assert set(got) == set(vectors)
+    assert {len(g) for g in got.values()} == {10}
+    assert all(s == 1.0 and n[0] == "h" for i in range(700) for n, s in got[f"h{i:05d}"].items())
+    want = brute(vectors, 10)
+    assert np.mean([len(set(got[i]) & set(w)) / 10 for i, w in want.items() if i[0] == "c"]) >= 0.9
+
+
+def test_copies_are_bounded_whatever_the_depth():
+    x = unit(np.random.default_rng(4).normal(size=(20_000, 64)))
+    model = Model(x.mean(0), np.eye(64), *learn_routing(x, 50, 0.1))
+    row, leaf, home = route(x, model, 4)
+    assert model.leaves > 200 and len(row) <= 4 * len(x) and home.sum() == len(x) == len(set(row[home].tolist()))
+    assert len(set(zip(row.tolist(), leaf.tolist()))) == len(row)
+
+
+def test_a_leaf_larger_than_planned_is_divided():
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(30, 64))[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 64)) * 0.2).astype(np.float32)
+    model = Model(np.zeros(64), np.eye(64), *learn_routing(unit(x), 10_000, 0.1))
+    parts = list(neighbours(x, np.ones(3000, bool), model, 5, 16, 200, 0.1, 4))
+    assert len(parts) > 3
+    q, r = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    assert np.array_equal(np.bincount(q), np.full(3000, 5))
+    cos = unit(x) @ unit(x).T
+    np.fill_diagonal(cos, -1)
+    best = np.argsort(-cos, axis=1)[:, :5]
+    assert np.mean([len(set(best[i]) & set(r[q == i].tolist())) / 5 for i in range(0, 3000, 7)]) >= 0.9
+
+
+def test_few_candidates_widen_the_substrings():
+    """Rows far from each other, where no two codes share a substring, still get all their neighbours, the nearest among them."""
+    x = np.random.default_rng(6).normal(size=(60, 64)).astype(np.float32)
+    model = Model(np.zeros(64), np.eye(64), *learn_routing(unit(x), 100, 0.1))
+    q, r, cos = nearest_in_leaf(x, np.ones(60, bool), model, 10, 16)
+    assert np.array_equal(np.bincount(q), np.full(60, 10))
+    full = np.round(unit(x) @ unit(x).T, 6)
+    np.fill_diagonal(full, -2)
+    assert np.mean([len(set(np.argsort(-full[i])[:10]) & set(r[q == i].tolist())) / 10 for i in range(60)]) >= 0.9
