@@ -1,26 +1,31 @@
 """Items of varying length packed into containers of fixed capacity by harmonic classes.
 
-Sizes are rounded up to size classes: every item larger than capacity / FINE has a class of its own width, smaller ones fall into
-reciprocal classes (capacity / j, capacity / (j + 1)], j to a container. A plan over the histogram of classes, whose length is bounded
-by the capacity and not by the data, composes container patterns: each pattern holds a fixed number of items of each class and is
-used a fixed number of times. An item's rank inside its class then gives its container by arithmetic alone, so classes and segments
-of classes are filled independently on all workers.
-
-Shuffles: the histogram (partial sums) and the narrow (key, size) rows by class and segment, never the texts. A size that a third of
-all items share is spread over segments like any other.
+Sizes fall into reciprocal classes: class j holds the sizes in (capacity / (j + 1), capacity / j], of which j go to a container. Classes
+wider than STEP are divided into equal parts, and the largest item at hand stands for its class. A container is led by one class, of which it takes its fixed count; the room that this
+leaves is promised to smaller classes, again in fixed counts, so that no container is half empty because its items are a little over a
+half. An item's rank inside its class then gives its container by arithmetic alone.
+
+Items are dealt to segments of about SEGMENT items by a hash, and each segment is packed by one worker independently of the others;
+the number of segments follows from the number of items and not from the cluster, so equal input gives equal containers everywhere.
+Rows that are equal in every column are counted before anything else and dealt out evenly, so a row that a third of all are copies of
+fills every segment alike.
+
+Shuffles: the narrow rows (key, size) twice, by row and by segment, never the texts; those are read once. Nothing reaches the driver.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 4096
-#: Containers of one plan step are composed from at most this many classes.
-FINE = 64
+#: The widest part of a class, in tokens; items of a segment.
+STEP, SEGMENT = 16, 65_536
 
 
 def token_rows(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
@@ -32,7 +37,6 @@ def token_rows(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) ->
     room = capacity - 1
     size = F.octet_length(F.col("_text"))
     items = df.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
-    whole = items.filter(size <= room).select("doc_id", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("start_byte"), size.cast("bigint").alias("n_bytes"))
     raw = F.encode("_text", "UTF-8")
     # a nominal cut moves back over the continuation bytes (10xxxxxx) before it, three at most
     byte_at = lambda p: F.conv(F.hex(F.substring(raw, p + 1, F.lit(1))), 16, 10).cast("int")
@@ -43,92 +47,108 @@ def token_rows(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) ->
 
     step = room - 3
     nominal = F.sequence(F.lit(0), F.floor((size - 1) / step).cast("int"))
-    starts = F.transform(nominal, lambda i: F.when(i == 0, 0).otherwise(back((i * step).cast("int"))))
-    cut = items.filter(size > room).select("doc_id", size.alias("_size"), starts.alias("_starts"))
-    long = cut.select("doc_id", "_size", "_starts", F.posexplode("_starts").alias("piece", "start_byte"))
+    starts = F.when(size <= room, F.array(F.lit(0))).otherwise(F.transform(nominal, lambda i: F.when(i == 0, 0).otherwise(back((i * step).cast("int")))))
+    cut = items.select("doc_id", size.alias("_size"), starts.alias("_starts"))
+    pieces = cut.select("doc_id", "_size", "_starts", F.posexplode("_starts").alias("piece", "start_byte"))
     end = F.coalesce(F.get("_starts", F.col("piece") + 1), F.col("_size"))
-    long = long.select("doc_id", F.col("piece").cast("bigint"), F.col("start_byte").cast("bigint"), (end - F.col("start_byte")).cast("bigint").alias("n_bytes"))
-    return whole.unionByName(long).withColumn("n_tokens", F.col("n_bytes") + 1)
+    rows = pieces.select("doc_id", F.col("piece").cast("bigint"), F.col("start_byte").cast("bigint"), (end - F.col("start_byte")).cast("bigint").alias("n_bytes"))
+    return rows.withColumn("n_tokens", F.col("n_bytes") + 1)
 
 
-def class_of(size: int, capacity: int) -> int:
-    """The class of a size, named by its upper bound: the size itself down to capacity / FINE, reciprocal bounds below."""
-    if size * FINE > capacity:
-        return size
-    return capacity // (capacity // max(size, 1))
+def class_bounds(capacity: int = CAPACITY, step: int = STEP) -> np.ndarray:
+    """The upper bounds of all classes, ascending: capacity / j, and those of the parts of classes wider than ``step``."""
+    bounds = set()
+    j = 1
+    while j <= capacity:
+        high, low = capacity // j, capacity // (j + 1)
+        parts = max(1, -(-(high - low) // step))
+        bounds |= {high - (high - low) * p // parts for p in range(parts)}
+        j = capacity // low if low else capacity + 1  # equal bounds are one class
+    return np.array(sorted(bounds), np.int64)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """(times, {class: items}) patterns that hold every item: best fit over classes, largest first, in whole runs of equal containers.
+def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(containers, [(class bound, items in each)]) that hold every item of one segment.
 
-    Every container takes the largest class left and then, again and again, the largest class that still fits; the same composition
-    is used as often as all its classes last. The number of patterns is bounded by the number of classes, not by the items.
+    The largest class left leads with its reciprocal count; then each class that fits the room that is left adds the count that fits.
+    The same filling is used until one of its classes has too few items left.
     """
-    left = {c: n for c, n in histogram.items() if n > 0}
+    left = {c: n for c, n in counts.items() if n > 0}
     order = sorted(left)
-    out = []
     while order:
-        room, pattern = capacity, {}
-        at = len(order) - 1
-        while at >= 0:
-            c = order[at]
-            take = min(room // c, left[c])
-            if take:
-                pattern[c] = take
-                room -= take * c
-            at = min(at - 1, bisect.bisect_right(order, room) - 1)
-        times = min(left[c] // n for c, n in pattern.items())
-        out.append((times, pattern))
-        for c, n in pattern.items():
+        room, filling = capacity, []
+        for c in reversed(order):
+            n = min(room // c, left[c])
+            if n:
+                filling.append((c, n))
+                room -= n * c
+                if room < order[0]:
+                    break
+        times = min(left[c] // n for c, n in filling)
+        yield times, filling
+        for c, n in filling:
             left[c] -= times * n
             if not left[c]:
                 order.remove(c)
+
+
+def fill(size: np.ndarray, capacity: int = CAPACITY, bounds: np.ndarray | None = None) -> np.ndarray:
+    """The container, from 0, of each item of a segment, in the order given; sizes lie in 1..capacity."""
+    bounds = class_bounds(capacity) if bounds is None else bounds
+    klass = bounds[np.searchsorted(bounds, size)] if len(size) else size
+    order = np.argsort(klass, kind="stable")
+    _, first, counts = np.unique(klass[order], return_index=True, return_counts=True)
+    kinds = np.maximum.reduceat(size[order], first) if len(size) else klass  # the largest item stands for its class
+    runs: dict[int, list[tuple[int, int, int]]] = {int(c): [] for c in kinds}
+    used: dict[int, int] = dict.fromkeys(runs, 0)
+    container = 0
+    for times, filling in patterns(dict(zip(kinds.tolist(), counts.tolist())), capacity):
+        for c, n in filling:
+            runs[c].append((used[c], n, container))
+            used[c] += times * n
+        container += times
+    out = np.empty(len(size), np.int64)
+    for c, a, n in zip(kinds.tolist(), first.tolist(), counts.tolist()):
+        start, each, at = np.array(runs[c], np.int64).T
+        rank = np.arange(n)
+        run = np.searchsorted(start, rank, side="right") - 1
+        out[order[a : a + n]] = at[run] + (rank - start[run]) // each[run]
     return out
 
 
-def pack_containers(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack_containers(items: DataFrame, capacity: int = CAPACITY, rows: int | None = None, segment: int = SEGMENT) -> DataFrame:
     """``items`` (doc_id, piece, n_tokens, ...) with ``container``: none holds more than ``capacity`` tokens, and no item is divided.
 
-    Ties are broken by (doc_id, piece) inside a segment, so equal input gives equal containers. Internal columns begin with ``__pack_``. Sizes must lie in 1..capacity;
-    others (null among them) have a null container. An empty table gives an empty table.
+    rows: about how many items there are, where that is known without reading them; else they are counted. Container numbers are
+    unique; with one segment they are 0, 1, 2, ... Sizes must lie in 1..capacity; others (null among them) have a null container.
+    Items in a class are taken by (doc_id, piece). Rows equal in every column are items of their own. Other columns are carried along
+    and must be comparable (no maps); internal ones begin with ``__pack_``. An empty table gives an empty table.
     """
-    spark = items.sparkSession
-    segments = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = F.col("n_tokens")
-    small = F.floor(F.lit(capacity) / F.floor(F.lit(capacity) / F.greatest(size, F.lit(1)))).cast("int")
-    klass = F.when(size.between(1, capacity), F.when(size * FINE > capacity, size.cast("int")).otherwise(small))
-    tagged = items.withColumns({"__pack_class": klass, "__pack_segment": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(segments)).cast("int")})
-    counts = tagged.filter(F.col("__pack_class").isNotNull()).groupBy("__pack_class", "__pack_segment").count()
-    # at most capacity classes, each one number: bounded by a parameter
-    histogram = {r["__pack_class"]: r["n"] for r in counts.groupBy("__pack_class").agg(F.sum("count").alias("n")).collect()}
-    runs = list(_runs(plan(histogram, capacity)))
-    if not runs:
-        return items.withColumn("container", F.lit(None).cast("bigint"))
-    by_class: dict[int, list[tuple[int, int, int, int]]] = {}
-    for c, first_item, each, first_container, _ in runs:
-        by_class.setdefault(c, []).append((first_item, each, first_container, 0))
-    table = spark.createDataFrame(
-        [(c, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for c, v in by_class.items()], "__pack_class int, __pack_first array<bigint>, __pack_each array<bigint>, __pack_container array<bigint>"
+    segments = max(1, -(-(items.count() if rows is None else rows) // segment))
+    columns = items.columns
+    once = items.groupBy(*columns).agg(F.count(F.lit(1)).alias("__pack_n"))
+    shares = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.least(F.col("__pack_n"), F.lit(segments)) - 1),
+        lambda i: F.struct(F.pmod(F.xxhash64(*columns) + i, F.lit(segments)).cast("int").alias("__pack_segment"), (F.floor((F.col("__pack_n") - 1 - i) / segments) + 1).alias("__pack_n")),
     )
-    before = Window.partitionBy("__pack_class").orderBy("__pack_segment").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pack_class", "__pack_segment", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__pack_offset"))
-    spots = offsets.join(F.broadcast(table), "__pack_class")  # one row for each class: at most capacity rows
-    inside = Window.partitionBy("__pack_class", "__pack_segment").orderBy("doc_id", "piece")
-    ranked = tagged.withColumn("__pack_row", F.row_number().over(inside) - 1).join(spots, ["__pack_class", "__pack_segment"], "left")
-    rank = F.col("__pack_offset") + F.col("__pack_row")
-    # the last run of the class that starts at or before the rank: the runs are in order of their first item
-    run = F.size(F.filter("__pack_first", lambda f: f <= rank)) - 1
-    ranked = ranked.withColumns({"__pack_rank": rank, "__pack_run": run})
-    container = F.get("__pack_container", F.col("__pack_run")) + F.floor((F.col("__pack_rank") - F.get("__pack_first", F.col("__pack_run"))) / F.get("__pack_each", F.col("__pack_run")))
-    return ranked.select(*items.columns, F.when(F.col("__pack_class").isNotNull(), container).cast("bigint").alias("container"))
-
-
-def _runs(patterns: list[tuple[int, dict[int, int]]]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(class, first item's rank, items per container, first container, containers) of each use of a class in a pattern."""
-    used: dict[int, int] = {}
-    container = 0
-    for times, pattern in patterns:
-        for c, n in pattern.items():
-            yield c, used.get(c, 0), n, container, times
-            used[c] = used.get(c, 0) + times * n
-        container += times
+    dealt = once.select(*columns, F.explode(shares).alias("__pack_share")).select(*columns, "__pack_share.__pack_segment", "__pack_share.__pack_n")
+    bounds = class_bounds(capacity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]  # one segment
+        if not parts:
+            return
+        group = pa.Table.from_batches(parts).combine_chunks()
+        group = group.take(pc.sort_indices(group, [("doc_id", "ascending"), ("piece", "ascending"), ("n_tokens", "ascending")]))
+        group = group.take(pa.array(np.repeat(np.arange(group.num_rows), group["__pack_n"].to_numpy())))
+        size = pc.fill_null(group["n_tokens"], 0).to_numpy()
+        good = np.flatnonzero((size >= 1) & (size <= capacity))
+        container = np.zeros(len(size), np.int64)
+        container[good] = fill(size[good], capacity, bounds) * segments + group["__pack_segment"][0].as_py()
+        usable = np.zeros(len(size), bool)
+        usable[good] = True
+        out = group.select(columns).append_column("container", pa.array(container, pa.int64(), mask=~usable))
+        yield from out.to_batches(max_chunksize=50_000)
+
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in items.schema.fields)
+    return dealt.repartitionById(segments, "__pack_segment").mapInArrow(run, f"{fields}, container bigint")

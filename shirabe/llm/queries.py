@@ -32,7 +32,8 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_containers(token_rows(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    docs = table(spark, sf_dir, "documents")
+    return pack_containers(token_rows(docs, "doc_id", "text"), rows=docs.count())  # counted from Parquet footers
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

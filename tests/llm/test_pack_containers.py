@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shirabe.llm.pack_containers import class_of, pack_containers, plan, token_rows
+from shirabe.llm.pack_containers import STEP, class_bounds, fill, pack_containers, patterns, token_rows
 
 
 def packed(spark, sizes, capacity=4096):
@@ -39,16 +40,52 @@ def test_hot_size_ties_and_odd_sizes(spark):
     assert max(load.values()) <= 4096 and len(load) == 100 + -(-500 // 3)
 
 
-def test_plan_holds_every_item():
+def test_patterns_hold_every_item_in_fixed_counts():
     rnd = random.Random(5)
-    h = Counter(class_of(rnd.randint(1, 4096), 4096) for _ in range(5000))
+    bounds = class_bounds()
+    h = Counter(int(bounds[bounds >= rnd.randint(1, 4096)][0]) for _ in range(5000))
     total = Counter()
-    for times, pattern in plan(h):
-        assert sum(c * n for c, n in pattern.items()) <= 4096
-        for c, n in pattern.items():
+    for times, filling in patterns(h):
+        assert sum(c * n for c, n in filling) <= 4096
+        lead, n = filling[0]
+        assert n == min(4096 // lead, h[lead] - total[lead])  # the reciprocal count
+        for c, n in filling:
             total[c] += times * n
     assert total == h
-    assert all(class_of(s, 4096) >= s for s in range(1, 4097))
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 7, 100, 4096])
+def test_classes_are_reciprocal(capacity):
+    bounds = class_bounds(capacity)
+    assert {capacity // j for j in range(1, capacity + 1)} <= set(bounds.tolist())
+    for size in range(1, capacity + 1):
+        bound = int(bounds[bounds >= size][0])
+        assert capacity // bound == capacity // size and bound - size < STEP
+
+
+@pytest.mark.parametrize("sizes", [[], [4096], [1] * 10_000, [2049] * 50 + [2047] * 50, [1366] * 90, [3000, 1096, 1097]])
+def test_fill(sizes):
+    at = fill(np.array(sizes, np.int64))
+    load = np.bincount(at, weights=sizes) if sizes else np.empty(0)
+    assert (load <= 4096).all() and (load > 0).all()
+
+
+def test_equal_containers_on_any_cluster_and_a_third_of_copies(spark):
+    rnd = random.Random(8)
+    rows = [(i, 0, rnd.randint(1, 4096)) for i in range(2000)] + [(7777, 0, 1300)] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, piece long, n_tokens long")
+    results = []
+    for partitions in ("4", "37"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        results.append(sorted(tuple(r) for r in pack_containers(df.repartition(int(partitions)), segment=300).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1] and len(results[0]) == 3000
+    load, copies = Counter(), Counter()
+    for d, _, n, c in results[0]:
+        load[c] += n
+        copies[c % 10] += d == 7777
+    assert max(load.values()) <= 4096 and set(copies.values()) == {100}  # every segment has its share of the copies
+    assert sum(load.values()) / 4096 / len(load) > 0.95
 
 
 def test_tokens_and_pieces(spark):
