@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from shirabe.operators.flatten_records import FEED_OBJECTS, FEED_PROSE, FEED_REPEATED, Incomplete, feed_children, feed_posts, flatten_records, group_and_pivot, triples
+from shirabe.operators.flatten_records import FEED_OBJECTS, FEED_PROSE, FEED_REPEATED, Incomplete, Paths, feed_children, feed_posts, flatten_records, group_and_pivot, read, tables, triples
 
 NONE = frozenset()
 
@@ -42,7 +42,7 @@ def test_single_and_json_in_string():
 
 
 def test_group_and_pivot_links_children():
-    rows = group_and_pivot(triples('{"id": 7, "xs": [{"a": 1, "ys": [{"b": 2}, null, {"b": 3}]}, {"a": null}]}', NONE, NONE), NONE)
+    rows = group_and_pivot(read('{"id": 7, "xs": [{"a": 1, "ys": [{"b": 2}, null, {"b": 3}]}, {"a": null}]}', Paths()))
     assert rows == [("", (), {"id": "7"}), ("xs[]", (0,), {"a": "1"}), ("xs[].ys[]", (0, 0), {"b": "2"}), ("xs[].ys[]", (0, 2), {"b": "3"}), ("xs[]", (1,), {"a": None})]
 
 
@@ -89,3 +89,35 @@ def test_posts_empty_and_long(spark):
     assert (row["uri"], len(row["text"])) == ("u", 300_000)
     assert feed_children(df.limit(0)).count() == 0
     assert flatten_records(df.limit(0), "record_id", "payload", FEED_REPEATED, FEED_OBJECTS, FEED_PROSE).count() == 0
+
+
+def test_json_in_strings_at_any_depth():
+    value = {"images": [{"alt": "x"}]}
+    for _ in range(9):
+        value = {"embed": json.dumps(value)}
+    assert triples(json.dumps(value), NONE, NONE) == [("embed." * 9 + "images[].alt", (0,), "x")]
+
+
+def test_two_quotes_at_one_depth_and_their_links(spark):
+    quote = lambda u, inner=(): {"record": {"$type": "app.bsky.embed.record#viewRecord", "uri": u, "author": {"handle": "h" + u}, "value": {"text": "t" + u, "createdAt": "2024"}, "embeds": list(inner)}}
+    post = {"post": {"uri": "p", "record": {"text": "tp"}, "embed": quote("a", [quote("b"), quote("c", [quote("d")])])}}
+    df = spark.createDataFrame([(1, feed(POST, post)), (2, json.dumps(post))], "record_id long, payload string")
+    got = {(r["item_pos"], r["depth"], r["place"]): (r["uri"], r["handle"], r["text"]) for r in feed_posts(df).collect() if r["record_id"] == 1 and r["item_pos"] == 1}
+    e = "embed.record"
+    assert got == {
+        (1, 0, ""): ("p", None, "tp"), (1, 1, e): ("a", "ha", "ta"), (1, 2, f"{e}.embeds[].record:0"): ("b", "hb", "tb"),
+        (1, 2, f"{e}.embeds[].record:1"): ("c", "hc", "tc"), (1, 3, f"{e}.embeds[].record.embeds[].record:1.0"): ("d", "hd", "td"),
+    }
+    assert {r["uri"] for r in feed_posts(df).collect() if r["record_id"] == 2} == {"p", "a", "b", "c", "d"}
+
+
+def test_typed_tables_with_parent_keys(spark):
+    text = json.dumps({"id": 7, "xs": [{"a": 1, "o": {"n": 5}, "ys": [{"b": 2.5}, {"b": "x"}]}, {"a": None}]})
+    df = spark.createDataFrame([(1, text)], "k long, p string")
+    got = tables(flatten_records(df, "k", "p", [], ["o"]), "k", {"": {"id": "bigint"}, "xs[]": {"a": "int"}, "xs[].o": {"n": "int"}, "xs[].ys[]": {"b": "double"}}, ["o"])
+    plain = {p: sorted((tuple(r) for r in t.collect()), key=repr) for p, t in got.items()}
+    assert plain[""] == [(1, [], None, None, 7)]
+    assert plain["xs[]"] == [(1, [0], "", [], 1), (1, [1], "", [], None)]
+    assert plain["xs[].o"] == [(1, [0], "xs[]", [0], 5)]
+    assert plain["xs[].ys[]"] == [(1, [0, 0], "xs[]", [0], 2.5), (1, [0, 1], "xs[]", [0], None)]
+    assert got["xs[].ys[]"].schema["b"].dataType.simpleString() == "double"
