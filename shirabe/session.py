@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: The setting by which a caller asks for rows to be dealt out before Python stages.
@@ -30,3 +32,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     tasks = df.sparkSession.conf.get(DEAL, None)
     return df.repartition(int(tasks)) if tasks else df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written once to the folder that ``spark.checkpoint.dir`` names and all executors share, and read from there.
+
+    Only where the session names none, as in tests on one machine, a folder of its own is made.
+    """
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shirabe-"))
+    return df.checkpoint()
