@@ -11,7 +11,8 @@
    this leaves with fewer than k candidates probes the substrings at distance 1, which covers all codes within 15, then at distance 2,
    which covers 23, and so on, until it has 3 k. The candidates are reranked by their floats, the best by cosine in double precision.
 
-Costs at scale: one shuffle by id (latest row), one by leaf (at most ``most`` times the vectors), narrow otherwise. Vectors of one
+Costs at scale: one shuffle by id (latest row), one by leaf (at most ``most`` times the vectors), narrow otherwise; a table of two
+numbers a row is written to the checkpoint folder. Vectors of one
 direction, whatever their length, are collapsed to their k + 1 smallest ids before routing, so that a hot group never meets in one task.
 """
 
@@ -26,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shirabe.session import checkpointed
+
 K, RADIUS, LEAF_ROWS, MARGIN, MOST = 10, 16, 16_384, 0.1, 4
 #: Bounds of the sample that the rotation and the routing tree are fitted on: N / 128 rows, between these.
 SAMPLE_LEAST, SAMPLE_MOST = 20_000, 400_000
@@ -134,6 +137,15 @@ def route(x: np.ndarray, model: Model, most: int) -> tuple[np.ndarray, np.ndarra
     return row, model.leaf[node], away < 0
 
 
+def direction_hash(x: np.ndarray) -> np.ndarray:
+    """A hash of each unit row, its components rounded to DECIMALS."""
+    z = np.floor(x * 10.0**DECIMALS + 0.5).astype(np.int64).view(np.uint64)
+    z = (z ^ (z >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
+    z ^= z >> np.uint64(32)
+    odd = np.random.default_rng(11).integers(0, 1 << 63, x.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    return (z * odd).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def codes_of(x: np.ndarray, model: Model) -> np.ndarray:
     """64-bit codes: the signs of the rotated rows (shorter vectors leave the upper bits 0)."""
     bits = (x - model.mean) @ model.rotation[:, :64] > 0
@@ -276,10 +288,13 @@ def latest_vectors(df: DataFrame, key: str, vector: str, at: str, dim: int) -> D
 
 
 def fit(df: DataFrame, key: str, vector: str, dim: int, rows: int, leaf_rows: int, margin: float) -> Model:
-    """The model from a bounded sample: the rows whose hashed ids come first, N / 128 of them within SAMPLE_LEAST and SAMPLE_MOST."""
+    """The model from a bounded sample: the ids whose hashes come first, about N / 128 of them within SAMPLE_LEAST and SAMPLE_MOST."""
     size = min(SAMPLE_MOST, max(SAMPLE_LEAST, rows // 128))
     good = df.filter((F.size(vector) == dim) & F.forall(vector, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(vector, lambda e: e != 0))
-    sample = good.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(vector).cast("array<float>").alias("v")).orderBy("h", "v").limit(size).select("v").toArrow()
+    whole = 1 << 63
+    upto = -whole + int(2 * whole * min(1.0, size / max(1, rows)))  # so many ids lie below it that about ``size`` are taken
+    taken = good.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(vector).cast("array<float>").alias("v")).filter(F.col("h") < min(upto, whole - 1))
+    sample = taken.groupBy("h").agg(F.max("v").alias("v")).toArrow().sort_by("h")  # an id once, however often it is repeated
     flat = sample["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if sample.num_rows else np.empty(0)
     x = unit(flat.reshape(-1, dim)) if len(flat) else np.empty((0, dim))
     x = x[np.sort(np.unique(np.floor(x * 10.0**DECIMALS + 0.5), axis=0, return_index=True)[1])]  # a direction once, as in the leaves
@@ -302,9 +317,15 @@ def similar_vectors(
     rows = df.count()  # from Parquet footers alone
     model = fit(df, key, vector, dim, rows, leaf_rows, margin)
     last = latest_vectors(df, key, vector, at, dim)
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
-    direction = F.xxhash64(F.transform("v", lambda e: F.floor(e.cast("double") / F.col("_length") * 10.0**DECIMALS + 0.5)))
-    hashed = last.withColumn("_length", length).select("id", direction.alias("h"))
+    key_type = df.schema[key].dataType.simpleString()
+
+    def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(direction_hash(unit(x)) if len(x) else np.empty(0, np.int64))], names=["id", "h"])
+
+    # two numbers a row, written once: four reads follow
+    hashed = checkpointed(last.mapInArrow(directions, f"id {key_type}, h bigint"))
     # a hot direction: only its k + 1 smallest ids can be anyone's neighbours; the group limit also holds before the shuffle
     heads = hashed.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("n") <= k + 1)
     crowded = heads.groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") == k + 1)  # k + 1 ids at most
@@ -337,7 +358,6 @@ def similar_vectors(
         for q, r, cos in neighbours(x, home, model, k, radius, leaf_rows, margin, most):
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), ids.take(pa.array(r)), pa.array(cos)], names=["id", "neighbour_id", "similarity"])
 
-    key_type = df.schema[key].dataType.simpleString()
     routed = kept.mapInArrow(send, f"leaf int, home boolean, id {key_type}, v array<float>")
     found = routed.repartitionById(model.leaves, "leaf").select("home", "id", "v").mapInArrow(search, f"id {key_type}, neighbour_id {key_type}, similarity double")
     copies = surplus.select("id", F.explode(F.slice("ids", 1, k)).alias("neighbour_id"), F.lit(1.0).alias("similarity"))
