@@ -1,10 +1,13 @@
 """Evaluation passages that stand, whole or in part, in a large corpus.
 
-Texts become token sequences (a Latin word or a Japanese character each, after escapes, markup, case and width are undone). Each
-sentence of an item is cut into one piece more than it may hold edits, so that every sentence that is recognisable keeps one piece as
-it was. Rolling hashes find all pieces at all places of a document; a place stays where enough of the sentence's tokens lie next to
-it. Documents that hold so, of one item, sentences that could make up a leak are verified by exact edit distance, sentence by
-sentence. No step before that drops a leak.
+Texts become token sequences (a word, or a character of a script without spaces, each, after escapes, markup, case and width are
+undone). Windows that begin at several places of each sentence of an item are embedded by the CGK random walk, which turns edit
+distance into Hamming distance: at every step the walk puts out the token under it and moves on or stays, as a random bit of (walk,
+step, token) says, so that after an edit two walks soon run together again. Some steps of the walk are sampled and hashed; this is
+repeated with several walks and as many windows as the sentence may hold edits and one more, so that the target recall is reached. The
+windows that start at every token of a document take the same walks, dropping out as soon as their samples meet no item. Where one
+meets, the sentence is verified by exact edit distance, the other sentences of its item are looked for by edit distance within three
+passage lengths around it, and the pair is a leak if enough of them follow each other.
 
 The items are few and fixed in number; they travel in blocks of at most ITEMS_MOST, each block a pass over the corpus. The corpus is
 read in place: nothing of it is shuffled but the found pairs.
@@ -15,7 +18,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import unquote
@@ -24,25 +26,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shirabe.llm.split_items import natural_boundaries
 from shirabe.session import spread
 
 ITEMS_MOST = 20_000
-#: Lengths in tokens that are hashed; a piece is looked up by the longest that it holds.
-SEEDS = (1, 2, 3, 4, 5, 6, 8, 12, 16, 24, 32)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: The least lengths in tokens of the classes of windows, over which their walks are sampled, the walks of each class, and the samples of a walk.
+CLASSES, WALKS, SAMPLES = (2, 4, 7, 12, 20), (4, 8, 5, 4, 4), 4
+_MIX = np.uint64(0x94D049BB133111EB)
 _PAD = 64
 
-_TOKEN = re.compile(r"[0-9a-zà-ÿ]+|[぀-ヿ㐀-鿿々]")
+#: Scripts written without spaces, a token for each character.
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\u3005\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"[^\W_{_SINGLE}]+|[{_SINGLE}]")
 _UNICODE_ESCAPE = re.compile(r"\\u\{?([0-9a-fA-F]{4,6})\}?|\\x([0-9a-fA-F]{2})")
 _PAIR = re.compile(r"\\u(d[89ab][0-9a-f]{2})\\u(d[c-f][0-9a-f]{2})", re.IGNORECASE)
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2}){2,}")
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|<!--.*?-->", re.DOTALL)
-_LINK = re.compile(r"\]\([^()\s]{0,300}\)")
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>|<!--.*?-->", re.DOTALL)
+_LINK = re.compile(r"\]\([^()\s]*\)")
 _DROPPED = "*_`~\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
-_JOINED = re.compile(r"(?<=[a-zà-ÿ])-\s*(?=[a-zà-ÿ])|(?<=[a-zà-ÿ])['’](?=[a-zà-ÿ])")
+_JOINED = re.compile(rf"(?<=[^\W\d_{_SINGLE}])(?:-\s*|['’])(?=[^\W\d_{_SINGLE}])")
 
 
 def undone(text: str) -> str:
@@ -73,8 +77,9 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(undone(text))
 
 
-def _is_ja(words: Sequence[str]) -> bool:
-    return 2 * sum(len(w) == 1 and w >= "぀" for w in words) > len(words)
+def _is_single(words: Sequence[str]) -> bool:
+    """Whether most tokens are characters of scripts without spaces."""
+    return 2 * sum(len(w) == 1 and w >= "\u0e00" for w in words) > len(words)
 
 
 @dataclass
@@ -87,7 +92,7 @@ class Item:
     masks: list[dict[int, int]] = field(default_factory=list)
     kinds: list[set[int]] = field(default_factory=list)
     length: int = 0
-    japanese: bool = False
+    single: bool = False
 
 
 @dataclass
@@ -96,125 +101,157 @@ class Index:
     items: list[Item]
     vocabulary: dict[str, int]
     widths: np.ndarray
-    flat: np.ndarray  # all sentences in a row
+    flat: np.ndarray  # all passages in a row, each with _PAD zeros behind it
     sentences: np.ndarray  # of each sentence: item, number in it, first token in ``flat``, tokens, edits
-    tables: list  # one for each seed length: (length, bitmap, sorted hashes, sentences, offsets in them, lengths and hashes of the pieces)
+    bits: np.ndarray  # [walk, step, token]: whether the walk moves on
+    mixed: np.ndarray  # a random number for each token
+    tables: list  # for each class of windows: (its first tokens, [(sampled steps, prefix bitmaps, sorted hashes, sentences, offsets)] for each walk)
 
 
-def _allowed(n: int, japanese: bool) -> int:
-    return min(n - 1, (1 if n < 80 else 2) if japanese else -(-n // 8))
+def _allowed(n: int, single: bool) -> int:
+    return min(n - 1, (1 if n < 80 else 2) if single else -(-n // 8))
+
+
+def sampled_steps(kind: int, walk: int) -> list[int]:
+    """The steps whose output is sampled: the first, and others up to where a walk has usually passed the class's least length."""
+    last = max(3, CLASSES[kind] * 3 // 2)
+    rest = np.random.default_rng([kind, walk]).choice(np.arange(1, last), min(SAMPLES, last) - 1, replace=False)
+    return [0, *sorted(rest.tolist())]
+
+
+def _bitmap(h: np.ndarray) -> np.ndarray:
+    return ((h * _MIX) >> np.uint64(44)).astype(np.int64)
+
+
+def take_walks(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray | None, bits: np.ndarray, mixed: np.ndarray, steps: Sequence[int], maps: Sequence[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(which starts remain, their hashes, the hashes so far after each sample): one CGK walk from every start.
+
+    ends: where a walk must not go beyond (items). maps: prefixes of items' hashes; a walk whose own is in none drops out (documents).
+    """
+    live, at = np.arange(len(starts)), starts.copy()
+    h = np.zeros(len(starts), np.uint64)
+    sampled, prefixes, n = set(steps), [], 0
+    for step in range(steps[-1] + 1):
+        token = flat[at]
+        if step in sampled:
+            if ends is not None:
+                keep = at < ends[live]
+                live, at, h, token = live[keep], at[keep], h[keep], token[keep]
+            h = h * _MIX + mixed[token]
+            if maps is not None and n:
+                keep = maps[n][_bitmap(h)]
+                live, at, h, token = live[keep], at[keep], h[keep], token[keep]
+            elif maps is None:
+                prefixes.append(h.copy())
+            n += 1
+            if not len(live):
+                break
+        at += bits[step][token]
+    return live, h, prefixes
 
 
 def build_index(ids: Sequence, passages: Sequence[str]) -> Index:
     """The index over one block of items."""
     vocabulary: dict[str, int] = {}
-    items = []
-    for passage in passages:
+    items: list[Item] = []
+    flat: list[int] = []
+    sentences: list[tuple[int, int, int, int, int]] = []
+    windows: list[tuple[int, int, int]] = []  # sentence, offset in it, where the window ends in ``flat``
+    for n, passage in enumerate(passages):
         ends = [0, *natural_boundaries(passage), len(passage)]
         item = Item()
         parts = [(tokens(passage[a:b]), len(passage[a:b].strip())) for a, b in zip(ends, ends[1:])]
-        item.japanese = _is_ja([w for p, _ in parts for w in p])
+        item.single = _is_single([w for p, _ in parts for w in p])
+        stop = len(flat) + sum(len(p) for p, _ in parts)
         for words, weight in parts:
             if not words:
                 continue
+            size, edits = len(words), _allowed(len(words), _is_single(words))
             item.sentences.append([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words])
             item.masks.append(masks_of(item.sentences[-1]))
             item.kinds.append(set(item.sentences[-1]))
             item.weights.append(weight)
-            item.edits.append(_allowed(len(words), _is_ja(words)))
-            item.length += sum(map(len, words)) + (0 if item.japanese else len(words))
+            item.edits.append(edits)
+            item.length += sum(map(len, words)) + (0 if item.single else size)
+            for offset in sorted({size * t // (edits + 1) for t in range(edits + 1)}):  # a very short one runs on into the next
+                windows.append((len(sentences), offset, len(flat) + size if size - offset >= CLASSES[0] else stop))
+            sentences.append((n, len(item.sentences) - 1, len(flat), size, edits))
+            flat += item.sentences[-1]
+        flat += [0] * _PAD
         items.append(item)
-    flat: list[int] = []
-    sentences: list[tuple[int, int, int, int, int]] = []
-    pieces: dict[int, list[tuple[int, int, int]]] = {}
-    for i, item in enumerate(items):
-        for k, (s, e) in enumerate(zip(item.sentences, item.edits)):
-            bounds = [len(s) * j // (e + 1) for j in range(e + 2)]
-            for a, b in zip(bounds, bounds[1:]):
-                pieces.setdefault(max(q for q in SEEDS if q <= b - a), []).append((len(sentences), a, b - a))
-            sentences.append((i, k, len(flat), len(s), e))
-            flat += s
     table = np.array(sentences, np.int64).reshape(-1, 5)
     tokens_flat = np.array(flat, np.int32)
-    rolled = _rolled(tokens_flat)
+    rng = np.random.default_rng(5)
+    size = len(vocabulary) + 1
+    most = max(3, CLASSES[-1] * 3 // 2)
+    bits = rng.integers(0, 2, (max(WALKS), most, size), np.int64)
+    mixed = rng.integers(0, 1 << 63, size, np.uint64)
+    owner, offset, end = np.array(windows, np.int64).reshape(-1, 3).T
+    starts = table[owner, 2] + offset
+    kind = np.searchsorted(CLASSES, end - starts, side="right") - 1
     tables = []
-    for q in sorted(pieces):
-        sentence, offset, length = np.array(pieces[q], np.int64).T
-        at = table[sentence, 2] + offset
-        hashes = _hash(rolled, at, q)
-        order = np.argsort(hashes, kind="stable")
-        seen = np.zeros(1 << 20, bool)
-        seen[_bitmap(hashes)] = True
-        tables.append((q, seen, hashes[order], sentence[order], offset[order], length[order], _hash(rolled, at, length)[order]))
-    widths = np.zeros(len(vocabulary) + 1, np.int32)
+    for c in range(len(CLASSES)):
+        own = np.flatnonzero(kind == c)
+        if not len(own):
+            continue
+        first = np.zeros(size, bool)
+        first[tokens_flat[starts[own]]] = True
+        walks = []
+        for w in range(WALKS[c]):
+            steps = sampled_steps(c, w)
+            live, h, prefixes = take_walks(tokens_flat, starts[own], end[own], bits[w], mixed, steps, None)
+            maps = [np.zeros(1 << 20, bool) for _ in steps]
+            for seen, p in zip(maps, prefixes):
+                seen[_bitmap(p)] = True
+            order = np.argsort(h, kind="stable")
+            walks.append((w, steps, maps, h[order], owner[own[live[order]]], offset[own[live[order]]]))
+        tables.append((first, walks))
+    widths = np.zeros(size, np.int32)
     for w, n in vocabulary.items():
         widths[n] = len(w)
-    return Index(list(ids), items, vocabulary, widths, tokens_flat, table, tables)
-
-
-def _bitmap(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
+    return Index(list(ids), items, vocabulary, widths, tokens_flat, table, bits, mixed, tables)
 
 
-def _rolled(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the tokens so far times powers of a base, and the inverse powers."""
-    rising = np.cumprod(np.full(len(flat), _BASE, np.uint64))
-    mixed = (flat.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * rising)]), np.cumprod(np.full(len(flat), _BASE_INVERSE, np.uint64))
-
-
-def _hash(rolled: tuple[np.ndarray, np.ndarray], at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-    """Hashes of ``length`` tokens from each place."""
-    sums, falling = rolled
-    h = (sums[at + length] - sums[at]) * falling[at]
-    h ^= h >> np.uint64(32)
-    return h * np.uint64(0x94D049BB133111EB)
-
-
-def probe(index: Index, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of a piece, place of its sentence's start, sentence): where a piece stands in the token array as it was, and all but the
-    sentence's edits of its tokens are as far from their places as its edits can move them."""
-    most = max((int(t[5].max()) for t in index.tables), default=0)
+def probe(index: Index, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place where it would start, sentence): the sentences that share the samples of a walk with a window of the token array, and all
+    but whose edits of their tokens are as far from their places as the edits can move them."""
+    flat = np.concatenate([flat, np.zeros(_PAD, np.int32)])
     known = np.flatnonzero(flat)
-    flat = np.concatenate([flat, np.zeros(most, np.int32)])
+    places, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for first, walks in index.tables:
+        starts = known[first[flat[known]]]
+        for w, steps, maps, hashes, sentence, offset in walks:
+            live, h, _ = take_walks(flat, starts, None, index.bits[w], index.mixed, steps, maps)
+            left = np.searchsorted(hashes, h, side="left")
+            n = np.searchsorted(hashes, h, side="right") - left
+            rows = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            places.append(np.repeat(starts[live], n) - offset[rows])
+            owners.append(sentence[rows])
+    place, sentence = np.concatenate(places), np.concatenate(owners)
+    once = np.sort(place * len(index.sentences) + sentence)
+    once = once[np.r_[True, once[1:] != once[:-1]]] if len(once) else once
+    place, sentence = once // max(1, len(index.sentences)), once % max(1, len(index.sentences))
     size = len(flat)
-    rolled = _rolled(flat)
-    found = [(np.empty(0, np.int64),) * 3]
-    for q, seen, hashes, owner, offset, length, whole in index.tables:
-        h = _hash(rolled, known, q)
-        keep = np.flatnonzero(seen[_bitmap(h)])
-        h = h[keep]
-        left = np.searchsorted(hashes, h, side="left")
-        n = np.searchsorted(hashes, h, side="right") - left
-        rows = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(known[keep], n)
-        same = _hash(rolled, at, length[rows]) == whole[rows]
-        rows, at = rows[same], at[same]
-        sentence, begin = owner[rows], offset[rows]
-        _, _, first, tokens_in, edits = index.sentences[sentence].T
-        place, nxt, missed = at - begin, begin + length[rows], np.zeros(len(at), np.int64)
-        left_over = tokens_in - length[rows]
-        live = np.arange(len(at))
-        done = [live[:0]]
-        step = 0
-        while len(live):  # the tokens after the piece, then those before it
-            over = left_over[live] <= step
-            done.append(live[over])
-            live = live[~over]
-            o = (nxt[live] + step) % tokens_in[live]
-            token, e = index.flat[first[live] + o], edits[live]
-            to = place[live] + o
-            hit = np.zeros(len(live), bool)
-            for shift in range(int(e.max(initial=0)) + 1):
-                for near in {shift, -shift}:
-                    hit |= (flat[np.clip(to + near, 0, size - 1)] == token) & (shift <= e)
-            missed[live] += ~hit
-            live = live[missed[live] <= e]
-            step += 1
-        kept = np.concatenate(done)
-        found.append((at[kept], place[kept], sentence[kept]))
-    return tuple(np.concatenate(c) for c in zip(*found))  # type: ignore[return-value]
+    _, _, first, tokens_in, edits = index.sentences[sentence].T
+    missed = np.zeros(len(place), np.int64)
+    live = np.arange(len(place))
+    done = [live[:0]]
+    step = 0
+    while len(live):
+        over = tokens_in[live] <= step
+        done.append(live[over])
+        live = live[~over]
+        o = tokens_in[live] - 1 - step  # from the end, where fewer samples lie
+        token, e, to = index.flat[first[live] + o], edits[live], place[live] + o
+        hit = np.zeros(len(live), bool)
+        for shift in range(int(e.max(initial=0)) + 1):
+            for near in {shift, -shift}:
+                hit |= (flat[np.clip(to + near, 0, size - 1)] == token) & (shift <= e)
+        missed[live] += ~hit
+        live = live[missed[live] <= e]
+        step += 1
+    kept = np.concatenate(done)
+    return place[kept], sentence[kept]
 
 
 def masks_of(a: Sequence[int]) -> dict[int, int]:
@@ -225,13 +262,13 @@ def masks_of(a: Sequence[int]) -> dict[int, int]:
     return masks
 
 
-def edit_distance_within(a: Sequence[int], b: Sequence[int], most: int, masks: dict[int, int] | None = None) -> tuple[int, int]:
-    """(distance, end) of the best match of all of ``a`` with a substring of ``b`` (bit-parallel); distance above ``most`` counts as none."""
+def edit_matches(a: Sequence[int], b: Sequence[int], most: int, masks: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """(distance, end) of every place in ``b`` where all of ``a`` ends within ``most`` edits (bit-parallel); of ends in a row the best."""
     n = len(a)
     masks = masks or masks_of(a)
     full, top = (1 << n) - 1, 1 << (n - 1)
     pv, mv, score = full, 0, n
-    best, end = n, 0
+    out: list[tuple[int, int]] = [(n, 0)] if n <= most else []
     for j, x in enumerate(b):
         eq = masks.get(x, 0)
         xv = eq | mv
@@ -246,14 +283,26 @@ def edit_distance_within(a: Sequence[int], b: Sequence[int], most: int, masks: d
         mh = (mh << 1) & full
         pv = mh | ~(xv | ph) & full
         mv = ph & xv
-        if score < best:
-            best, end = score, j + 1
-    return (best, end) if best <= most else (n + 1, -1)
+        if score <= most:
+            if out and out[-1][1] >= j + 1 - 2 * most and j:
+                if score < out[-1][0]:
+                    out[-1] = (score, j + 1)
+            else:
+                out.append((score, j + 1))
+    return out
+
+
+def edit_distance_within(a: Sequence[int], b: Sequence[int], most: int, masks: dict[int, int] | None = None) -> tuple[int, int]:
+    """(distance, end) of the best match of all of ``a`` with a substring of ``b``; distance above ``most`` counts as none."""
+    return min(edit_matches(a, b, most, masks), default=(len(a) + 1, -1))
 
 
 def verify(item: Item, doc: np.ndarray, met: Sequence[tuple[int, int]], widths: np.ndarray) -> bool:
-    """Whether sentences that make up half of the passage stand in order within three passage lengths, of those that ``met`` names with
-    the places where they would start. Every place counts, wherever in the document it is."""
+    """Whether sentences that make up half of the passage stand in order within three passage lengths.
+
+    met: sentences with the places where they would start. Those that prove right there are kept, wherever in the document that is;
+    then the others are looked for within three lengths around every one of them.
+    """
     words = doc.tolist()
     places: list[set[tuple[int, int]]] = [set() for _ in item.sentences]
     for k, p in met:
@@ -262,27 +311,54 @@ def verify(item: Item, doc: np.ndarray, met: Sequence[tuple[int, int]], widths:
             places[k].add((p, p + len(s)))
             continue
         lo, hi = max(0, p - slack), max(0, p + len(s) + slack)
-        if len(item.kinds[k].difference(words[lo:hi])) > item.edits[k]:
+        if len(item.kinds[k].difference(words[lo:hi])) > slack:
             continue  # every kind of token that is missing costs an edit
-        _, end = edit_distance_within(s, words[lo:hi], item.edits[k], item.masks[k])
+        _, end = edit_distance_within(s, words[lo:hi], slack, item.masks[k])
         if end >= 0:
             places[k].add((lo + end - len(s), lo + end))
-    return _chained(item, doc, places, widths)
+    if not any(places):
+        return False
+    offsets = np.concatenate([[0], np.cumsum(np.maximum(1, widths[doc]) + (0 if item.single else 1))])
+    if _chained(item, offsets, places):
+        return True
+    reach = 3 * item.length
+    near = np.array(sorted({a for ps in places for a, _ in ps}))
+    stretches: list[list[int]] = []
+    lows = np.searchsorted(offsets, offsets[np.maximum(0, near)] - reach)
+    highs = np.searchsorted(offsets, offsets[np.maximum(0, near)] + reach, side="right")
+    for lo, hi in zip(lows.tolist(), highs.tolist()):
+        if stretches and lo <= stretches[-1][1]:
+            stretches[-1][1] = max(hi, stretches[-1][1])
+        else:
+            stretches.append([lo, hi])
+    total = sum(item.weights)
+    for lo, hi in stretches:
+        part = words[lo:hi]
+        have = set(part)
+        possible = [k for k, kinds in enumerate(item.kinds) if len(kinds - have) <= item.edits[k]]
+        if 2 * sum(item.weights[k] for k in possible) < total:
+            continue
+        for k in possible:
+            size = len(item.sentences[k])
+            places[k] |= {(lo + end - size, lo + end) for _, end in edit_matches(item.sentences[k], part, item.edits[k], item.masks[k])}
+    return _chained(item, offsets, places)
 
 
-def _chained(item: Item, doc: np.ndarray, places: Sequence[Iterable[tuple[int, int]]], widths: np.ndarray) -> bool:
+def _chained(item: Item, offsets: np.ndarray, places: Sequence[Iterable[tuple[int, int]]]) -> bool:
     """Whether found sentences of half the passage's weight (two at least, where it has several) follow each other within three lengths."""
     total = sum(item.weights)
     if 2 * sum(w for w, p in zip(item.weights, places) if p) < total:
         return False
-    offsets = np.concatenate([[0], np.cumsum(np.maximum(1, widths[doc]) + (0 if item.japanese else 1))])
+    last = len(offsets) - 1
     spans = sorted((b, a, k) for k, ps in enumerate(places) for a, b in ps)
     needed = 2 if len(item.sentences) > 1 else 1
     for first in range(len(spans)):  # the heaviest chain in order whose stretch starts at this span
-        start = offsets[max(0, spans[first][1])]
+        start = offsets[min(last, max(0, spans[first][1]))]
         best: dict[int, tuple[int, int]] = {}
         for b, a, k in spans[first:]:
-            if offsets[min(b, len(doc))] - start > 3 * item.length or a < spans[first][1]:
+            if offsets[min(b, last)] - start > 3 * item.length:
+                break  # spans are in order of their ends, so a stretch holds a bounded number of them
+            if a < spans[first][1]:
                 continue
             w, c = max(((w, c) for j, (w, c) in best.items() if j < k), default=(0, 0))
             if (w + item.weights[k], c + 1) > best.get(k, (0, 0)):
@@ -304,11 +380,11 @@ def find_in(index: Index, texts: Sequence[str]) -> list[tuple[int, int]]:
         at += len(ids) + len(pad)
     if not parts:
         return []
-    piece, place, sentence = probe(index, np.concatenate(parts))
+    place, sentence = probe(index, np.concatenate(parts))
     if not len(place):
         return []
     item, number = index.sentences[sentence, :2].T
-    text = np.searchsorted(np.array(starts), piece, side="right") - 1
+    text = np.searchsorted(np.array(starts), np.maximum(place, 0) + np.minimum(index.sentences[sentence, 3], _PAD) // 2, side="right") - 1
     place = place - np.array(starts)[text]
     order = np.lexsort((place, number, item, text))
     text, item, number, place = text[order], item[order], number[order], place[order]
@@ -316,12 +392,7 @@ def find_in(index: Index, texts: Sequence[str]) -> list[tuple[int, int]]:
     out = []
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(text)]):
         k, i = int(text[a]), int(item[a])
-        it = index.items[i]
-        met = set(zip(number[a:b].tolist(), place[a:b].tolist()))
-        kinds = {n for n, _ in met}
-        if len(kinds) < min(2, len(it.sentences)) or 2 * sum(it.weights[n] for n in kinds) < sum(it.weights):
-            continue
-        if verify(it, parts[k][: len(parts[k]) - len(pad)], sorted(met), index.widths):
+        if verify(index.items[i], parts[k][: len(parts[k]) - len(pad)], list(zip(number[a:b].tolist(), place[a:b].tolist())), index.widths):
             out.append((k, i))
     return out
 
@@ -332,6 +403,7 @@ def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_ke
     Null and empty texts or passages leak nothing; of repeated items and documents every pair is given; texts are read whole. A
     passage of several sentences needs two of them. Empty tables give an empty table. Further columns are not read.
     """
+    batch_type = to_arrow_type(items.schema[item_key].dataType)
     key_type, item_type = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     rows = items.select(F.col(item_key).alias("i"), F.col(passage).alias("p")).filter(F.length("p") > 0)
     blocks = max(1, -(-rows.count() // ITEMS_MOST))
@@ -351,11 +423,6 @@ def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_ke
                         item.append(index.ids[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(item, batch_type)], names=["_doc", "_item"])
 
-        batch_type = _arrow(item_type)
         part = source.mapInArrow(run, f"_doc {key_type}, _item {item_type}")
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("_doc").alias(key), F.col("_item").alias(item_key))
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

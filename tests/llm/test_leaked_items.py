@@ -117,3 +117,32 @@ def test_a_stray_copy_far_ahead_hides_no_leak():
     assert find_in(index, [spread_out]) == [(0, 0)]
     assert find_in(index, [first + " " + FILLER * 100 + spread_out + FILLER * 5]) == [(0, 0)]
     assert find_in(index, [first + " " + FILLER * 100 + rest[0] + " "]) == []
+
+
+@pytest.mark.parametrize(
+    "passage, other",
+    [
+        ("Старый мост стоял над рекой. Каждое утро рыбаки несли сети домой. Никто не слышал звона колоколов.", "Зимой дети катались на льду. "),
+        ("낡은 다리가 강 위에 서 있었다. 어부들은 아침마다 그물을 집으로 가져갔다. 아무도 종소리를 듣지 못했다.", "겨울에는 아이들이 얼음을 탔다. "),
+        ("Η παλιά γέφυρα στεκόταν πάνω από το ποτάμι. Κάθε πρωί οι ψαράδες έφερναν τα δίχτυα. Κανείς δεν άκουσε την καμπάνα.", "Τον χειμώνα έπαιζαν στον πάγο. "),
+        ("สะพานเก่าตั้งอยู่เหนือแม่น้ำ. ชาวประมงนำแหกลับบ้านทุกเช้า. ไม่มีใครได้ยินเสียงระฆัง.", "ฤดูหนาวเด็กเล่นบนน้ำแข็ง. "),
+    ],
+)
+def test_any_script(passage, other):
+    index = build_index([1], [passage])
+    assert find_in(index, [other * 3 + passage.upper() + other, other * 9]) == [(0, 0)]
+
+
+def test_long_tags_links_and_repeats_in_one_document():
+    index = build_index([1], [EN])
+    tag, link = f'<a title="{"x " * 400}">', f"](https://a.example/{'y' * 900})"
+    assert find_in(index, [embed(EN.replace("kitchen", f"{tag}kitchen</a>").replace("network", f"[network{link}"))]) == [(0, 0)]
+    assert find_in(index, [(EN_PARTS[0] + ". ") * 5000]) == []
+
+
+@pytest.mark.parametrize("kind, value", [("double", 1.5), ("date", "2024-01-01"), ("binary", bytearray(b"k"))])
+def test_any_item_key(spark, kind, value):
+    items = spark.createDataFrame([(EN,)], "passage string").selectExpr(f"CAST({value!r} AS {kind}) AS item_id" if kind != "binary" else "CAST('k' AS binary) AS item_id", "passage")
+    docs = spark.createDataFrame([(1, embed(EN))], "doc_id long, text string")
+    (row,) = leaked_items(docs, "doc_id", "text", items, "item_id", "passage").collect()
+    assert row["doc_id"] == 1 and str(row["item_id"]) == str(value)
