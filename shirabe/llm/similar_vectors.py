@@ -11,8 +11,8 @@
    this leaves with fewer than k candidates probes the substrings at distance 1, which covers all codes within 15, then at distance 2,
    which covers 23, and so on, until it has 3 k. The candidates are reranked by their floats, the best by cosine in double precision.
 
-Costs at scale: one shuffle by id (latest row), one by leaf (at most ``most`` times the vectors), narrow otherwise; a table of two
-numbers a row is written to the checkpoint folder. Vectors of one
+Costs at scale: one shuffle by id (latest row), one by leaf (at most ``most`` times the vectors), narrow otherwise; what finds
+the hot directions carries two numbers a row. Vectors of one
 direction, whatever their length, are collapsed to their k + 1 smallest ids before routing, so that a hot group never meets in one task.
 """
 
@@ -27,8 +27,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shirabe.session import checkpointed
-
 K, RADIUS, LEAF_ROWS, MARGIN, MOST = 10, 16, 16_384, 0.1, 4
 #: Bounds of the sample that the rotation and the routing tree are fitted on: N / 128 rows, between these.
 SAMPLE_LEAST, SAMPLE_MOST = 20_000, 400_000
@@ -324,8 +322,7 @@ def similar_vectors(
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(direction_hash(unit(x)) if len(x) else np.empty(0, np.int64))], names=["id", "h"])
 
-    # two numbers a row, written once: four reads follow
-    hashed = checkpointed(last.mapInArrow(directions, f"id {key_type}, h bigint"))
+    hashed = last.mapInArrow(directions, f"id {key_type}, h bigint")  # four reads of one shuffle
     # a hot direction: only its k + 1 smallest ids can be anyone's neighbours; the group limit also holds before the shuffle
     heads = hashed.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("n") <= k + 1)
     crowded = heads.groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") == k + 1)  # k + 1 ids at most
