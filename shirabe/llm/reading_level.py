@@ -1,18 +1,20 @@
 """Reading level of each document by regularised ordinal regression.
 
 Features of length, lexical diversity, word rarity, connectives and clause depth are computed for the script that a document is
-mainly written in (each script has its own block of weights). The rarity of a word comes from counts over the whole corpus, kept in
-a hashed table of fixed size. A proportional-odds model is fitted to a bounded sample of rated documents and applied to all.
+mainly written in (each script has its own block of weights). The rarity of a word comes from exact counts over the whole corpus. A
+proportional-odds model with an L2 penalty is fitted to a bounded sample of rated documents and applied to all.
 
-Costs at scale: two narrow passes over the texts (word counts, features) and one over the sampled documents; what reaches the driver
-is the count table and the sample's features, both bounded by parameters.
+A document is judged by its running text; only where tables hold nearly all of it, by the cells that are sentences.
+
+Costs at scale: a pass over the texts that counts words (combined before the exchange), one over the sampled documents, one that
+judges. Sent to the driver are the words of at least WORD_SHARE of all words, so at most 1 / WORD_SHARE of them, and the sample's
+features, a fixed number each.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,33 +26,35 @@ from pyspark.sql import functions as F
 from shirabe.session import spread
 
 LEAST_CHARS, LEVELS = 300, 5
-#: Slots of the word-count table, and rated documents that the model is fitted on at most.
-SLOTS, RATED_MOST = 1 << 16, 8000
+#: The share of all words below which a word counts as rarest; rated documents that the model is fitted on at most.
+WORD_SHARE, RATED_MOST = 2e-6, 8000
+#: Different words of a task that are held before they are handed on; the weight of running text (wide characters count twice) that is enough to judge by.
+HELD, ENOUGH = 200_000, 60
 #: Words of a stretch whose variety is measured.
 SEGMENT = 80
 
 _FENCE = re.compile(r"^(?:```|~~~)[\s\S]*?(?:^(?:```|~~~)[ \t\r]*$|\Z)", re.MULTILINE)
-_LATIN = re.compile(r"[a-z]+(?:[-'’][a-z]+)*")
+_LATIN = re.compile(r"[^\W\d_\u3040-\u30ff\u3400-\u9fff々]+(?:[-'’][^\W\d_\u3040-\u30ff\u3400-\u9fff々]+)*")
+_ANY_WORD = re.compile(_LATIN.pattern + "|[一-鿿々]+|[ァ-ヺー]+")
 _JA_WORD = re.compile(r"[一-鿿々]+|[ァ-ヺー]+")
-_LOWER = re.compile(r"(?<![A-Za-z])[a-z]+(?:-[a-z]+)*")
 _KANA_RUN = re.compile(r"[ぁ-ゖ]+")
 _ROW = re.compile(r"^[ \t]*\|[^\n]*", re.MULTILINE)
 _END = re.compile(r"[.!?。！？♪…]+(?=[\s」』）)\"”’]|$|[^\x00-\x7f])")
 _HIRAGANA = re.compile(r"[ぁ-ゖ]")
 
-#: Connectives by how demanding they are.
+#: Connectives by how demanding they are: coordinating, common and less common subordinating ones, those of formal writing.
 CONNECTIVES_EN = (
     ("and", "but", "so", "or", "then"),
     ("when", "while", "because", "after", "before", "if", "until"),
-    ("although", "since", "whereas", "provided", "which", "throughout", "within", "unless", "though", "during"),
-    ("notwithstanding", "insofar", "whose", "moreover", "nevertheless", "consequently", "irrespective", "virtue", "contradistinction", "extent", "furthermore", "thereby", "hence", "whereby", "albeit", "thus", "therefore", "however"),
-)
+    ("although", "though", "since", "unless", "whereas", "whether", "which", "during", "within", "throughout"),
+    ("however", "therefore", "thus", "hence", "moreover", "furthermore", "nevertheless", "consequently", "notwithstanding", "insofar", "whereby", "thereby", "albeit", "whose"),
+)
 CONNECTIVES_JA = (
     ("と", "は", "まで", "で、", "から、"),
-    ("ので", "ごとに", "について", "では", "のに", "ながら", "けれど"),
-    ("および", "を踏まえ", "に関して", "を通じて", "に基づき", "ため、", "により", "による", "に伴い", "ものの"),
-    ("ならびに", "もしくは", "ないし", "がゆえに", "に鑑み", "を媒介", "限り", "とすれば", "において", "得ない", "得る", "解され", "ざるを", "捨象", "にとどまる", "際して", "ひいては", "すなわち", "ゆえん"),
-)
+    ("ので", "ごとに", "では", "のに", "ながら", "けれど", "について"),
+    ("および", "に関して", "を通じて", "に基づき", "による", "により", "に伴い", "ため、", "ものの"),
+    ("ならびに", "もしくは", "ないし", "ゆえに", "に鑑み", "において", "に際して", "とすれば", "限り", "ひいては", "すなわち", "ざるを得"),
+)
 _LATINATE = ("tion ", "sion ", "ment ", "ance ", "ence ", "ical ", "ised ", "ized ", "able ", "ible ", "logy ", "eous ", "aphy ", "tive ")
 
 
@@ -60,18 +64,17 @@ def _cells(row: re.Match[str]) -> str:
     return "\n".join(c if c[-1] in ".!?。！？♪" else c + "." for c in cells if c.count(" ") >= 2 or _HIRAGANA.search(c))
 
 
-def table_share(text: str) -> float:
-    """The share of the lines with text that are table rows."""
-    if "|" not in text:
-        return 0.0
-    lines = [line for line in text.split("\n") if line.strip()]
-    return sum(line.lstrip()[:1] == "|" for line in lines) / max(1, len(lines))
+def _weight(text: str) -> int:
+    return sum(2 if c > "\u2fff" else 1 for c in text if not c.isspace())
 
 
-def prose_of(text: str) -> str:
-    """The text without code blocks, and of tables only the cells that hold sentences."""
+def prose_of(text: str) -> tuple[str, bool]:
+    """(the text to judge by, whether it is cells): without code blocks and tables, or, where little is left, with the cells that hold sentences."""
     text = _FENCE.sub(" ", text)
-    return _ROW.sub(_cells, text) if "|" in text else text
+    if "|" not in text:
+        return text, False
+    rest = _ROW.sub("", text)
+    return (rest, False) if _weight(rest) >= ENOUGH else (_ROW.sub(_cells, text), True)
 
 
 def _variety(words: list[str]) -> float:
@@ -81,16 +84,15 @@ def _variety(words: list[str]) -> float:
     return sum(len(set(words[a : a + SEGMENT])) for a in starts) / len(starts) / max(1, min(SEGMENT, len(words)))
 
 
-def profile(text: str) -> tuple[bool, np.ndarray, list[str], list[str]]:
-    """(mainly Japanese, form features (the last: the share of table rows), words for rarity, words for calibrated difficulty) of one text."""
-    plain = prose_of(text)
+def profile(text: str) -> tuple[bool, np.ndarray, list[str]]:
+    """(mainly Japanese, form features (the last: whether only cells are judged), words) of one text."""
+    plain, cells = prose_of(text)
     low = plain.lower()
     latin = _LATIN.findall(low)
     kana = _KANA_RUN.findall(plain)
     hiragana = len("".join(kana))
     ja = 2 * hiragana > len("".join(latin))
     words = _JA_WORD.findall(plain) if ja else latin
-    graded = words + [k for k in kana if len(k) > 1] if ja else _LOWER.findall(plain)
     n = max(1, len(words))
     kinds = Counter(words)
     sizes = np.array(list(map(len, words)) or [0])
@@ -119,26 +121,8 @@ def profile(text: str) -> tuple[bool, np.ndarray, list[str], list[str]]:
         counts = [sum(map(kinds.__getitem__, group)) for group in CONNECTIVES_EN]
         block += [c / sentences for c in counts]
         block += [sum(counts[2:]) / n, counts[0] / n]
-    block.append(table_share(text))
-    return ja, np.array(block), words, graded
-
-
-class _Slots(dict):
-    """word -> slot, computed once in a worker."""
-
-    def __missing__(self, word: str) -> int:
-        k = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % SLOTS
-        return k
-
-
-_slots = _Slots()
-
-
-def slots_of(words: list[str]) -> np.ndarray:
-    """The count-table slot of each word; the cache of a worker is emptied when it grows large."""
-    if len(_slots) > 200_000:
-        _slots.clear()
-    return np.array(list(map(_slots.__getitem__, words)), np.int64)
+    block.append(float(cells))
+    return ja, np.array(block), words
 
 
 _QUANTILES = np.array([0.05, 0.25, 0.5, 0.75, 0.95])
@@ -153,32 +137,34 @@ def _spread(v: np.ndarray) -> list[float]:
 
 
 FORM, SPREAD = 20, 7
-HALF = FORM + 2 * SPREAD
+HALF = FORM + SPREAD
 
 
-def vector(ja: bool, form: np.ndarray, rare: np.ndarray, graded: np.ndarray) -> np.ndarray:
-    """The feature vector: the script, one block for each script, of which one is in use, and how tables shift the scale (their sentences are simpler than the document)."""
-    out = np.zeros(1 + 2 * HALF + 6)
-    spread = _spread(graded if len(graded) else np.full(1, 3.0))
-    block = [*form[:FORM], *_spread(rare if len(rare) else np.zeros(1)), *spread]
-    out[0] = 1.0 if ja else -1.0
-    out[1 + ja * HALF : 1 + (ja + 1) * HALF] = block
-    share, mean, full = form[FORM], spread[0], float(form[FORM] > 0.5)
-    out[1 + 2 * HALF :] = share, share * mean, full, full * mean, full * ja, full * ja * mean
-    return out
+class Rarity(dict):
+    """word -> how rare it is, from {word: count} of the words of at least WORD_SHARE of ``total``; all others are as rare as that."""
+
+    def __init__(self, counts: dict[str, int], total: int):
+        super().__init__((w, -math.log(n / total)) for w, n in counts.items())
+        self.rarest = -math.log(WORD_SHARE)
+
+    def __missing__(self, word: str) -> float:
+        return self.rarest
 
 
-def difficulty(bags: list[np.ndarray], levels: np.ndarray) -> np.ndarray:
-    """The mean level of the rated texts that use each word slot, drawn to the middle where few do."""
-    total, uses = np.full(SLOTS, 6.0), np.full(SLOTS, 2.0)
-    for bag, level in zip(bags, levels):
-        total[bag] += level
-        uses[bag] += 1
-    return total / uses
+def vector(text: str, rarity: Rarity) -> np.ndarray:
+    """The feature vector: the script, one block for each script, of which one is in use, and how cells shift the scale (their sentences are simpler than the document)."""
+    ja, form, words = profile(text)
+    out = np.zeros(1 + 2 * HALF + 4)
+    rare = _spread(np.array(list(map(rarity.__getitem__, words)))) if words else [0.0] * SPREAD
+    out[0] = 1.0 if ja else -1.0
+    out[1 + ja * HALF : 1 + (ja + 1) * HALF] = [*form[:FORM], *rare]
+    cells, mean = form[FORM], rare[0]
+    out[1 + 2 * HALF :] = cells, cells * mean, cells * ja, cells * ja * mean
+    return out
 
 
 class Ordinal:
-    """Proportional odds, fitted by Newton's method with an L2 penalty on standardised features (each block within its own script)."""
+    """Proportional odds, fitted by gradient steps (Adam) with an L2 penalty on standardised features (each block within its own script)."""
 
     def __init__(self, levels: int = LEVELS, penalty: float = 30.0):
         self.levels, self.penalty = levels, penalty
@@ -212,24 +198,30 @@ class Ordinal:
         return 1 + ((self._scale(x) @ self.w)[:, None] > self.cuts[None, :]).sum(1)
 
 
-def word_counts(df: DataFrame, text: str) -> np.ndarray:
-    """How often each word slot occurs in all texts. At most SLOTS numbers leave the executors."""
+def word_counts(df: DataFrame, text: str) -> Rarity:
+    """How rare each word is, counted exactly over all texts. The counts of the words kept add up to no more than all words, so at most
+    1 / WORD_SHARE of them leave the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        held: Counter = Counter()
+
+        def hand_on() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            held.clear()
+            return out
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                plain = prose_of(t)
-                latin = _LATIN.findall(plain.lower())
-                ja = 2 * len("".join(_KANA_RUN.findall(plain))) > len("".join(latin))
-                total += np.bincount(slots_of(_JA_WORD.findall(plain) if ja else latin), minlength=SLOTS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["slot", "n"])
-
-    sums = spread(df.select(text)).filter(F.col(text).isNotNull()).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.int64)
-    out[sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    return out
+                held.update(_ANY_WORD.findall(t.lower()))
+                if len(held) > HELD:
+                    yield hand_on()
+        yield hand_on()
+
+    sums = spread(df.select(text)).filter(F.col(text).isNotNull()).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    total = F.broadcast(sums.agg(F.sum("n").alias("total")))  # one row; the exchange of the sums is used again
+    found = sums.crossJoin(total).filter(F.col("n") >= F.col("total") * WORD_SHARE).toArrow()
+    counts = dict(zip(found["word"].to_pylist(), found["n"].to_pylist()))
+    return Rarity(counts, found["total"][0].as_py() if counts else 1)
 
 
 def rated_sample(labels: DataFrame, key: str, level: str, most: int) -> DataFrame:
@@ -238,38 +230,20 @@ def rated_sample(labels: DataFrame, key: str, level: str, most: int) -> DataFram
     return rated.filter(F.col("_level").between(1, LEVELS)).orderBy(F.xxhash64(key), key).limit(most)
 
 
-def fit_levels(docs: DataFrame, labels: DataFrame, key: str, text: str, level: str, rarity: np.ndarray, most: int = RATED_MOST) -> tuple[Ordinal, np.ndarray] | None:
-    """The model and the word difficulties, from at most ``most`` rated documents; None where no rated document has a text."""
+def fit_levels(docs: DataFrame, labels: DataFrame, key: str, text: str, level: str, rarity: Rarity, most: int = RATED_MOST) -> Ordinal | None:
+    """The model, from at most ``most`` rated documents, each once however often it is repeated; None where no rated document has a text."""
     sample = F.broadcast(rated_sample(labels, key, level, most))  # at most ``most`` rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ja, form, rare, graded = zip(*map(profile, batch.column(1).to_pylist())) if batch.num_rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(ja, pa.bool_()),
-                    pa.array([f.tolist() for f in form], pa.list_(pa.float64())),
-                    pa.array([slots_of(w).tolist() for w in rare], pa.list_(pa.int32())),
-                    pa.array([slots_of(w).tolist() for w in graded], pa.list_(pa.int32())),
-                ],
-                names=["level", "ja", "form", "rare", "graded"],
-            )
-
-    long = docs.select(key, text).filter(F.char_length(text) >= LEAST_CHARS)
-    rows = long.join(sample, key).select("_level", text).mapInArrow(run, "level int, ja boolean, form array<double>, rare array<int>, graded array<int>").toArrow().to_pylist()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r["level"], r["form"], r["graded"]))
-    y = np.array([r["level"] for r in rows])
-    bags = [np.unique(np.array(r["graded"], np.int64)) for r in rows]
-    fold = np.arange(len(rows)) % 4
-    x = []
-    for k in range(4):  # words are calibrated on other documents than the one that they describe
-        d = difficulty([b for b, f in zip(bags, fold) if f != k], y[fold != k])
-        x += [(i, vector(r["ja"], np.array(r["form"]), rarity[np.array(r["rare"], np.int64)], d[np.array(r["graded"], np.int64)])) for i, r in enumerate(rows) if fold[i] == k]
-    features = np.array([v for _, v in sorted(x, key=lambda p: p[0])])
-    return Ordinal().fit(features, y), difficulty(bags, y)
+            x = [vector(t, rarity).tolist() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["k", "level", "x"])
+
+    long = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.char_length("_text") >= LEAST_CHARS)
+    rated = long.join(sample.withColumnRenamed(key, "_key"), "_key").select(F.xxhash64("_key").alias("k"), "_level", "_text")
+    once = rated.mapInArrow(run, "k bigint, level int, x array<double>").groupBy("k").agg(F.max(F.struct("level", "x")).alias("r"))
+    rows = sorted((r["r"]["level"], r["r"]["x"]) for r in once.collect())
+    return Ordinal().fit(np.array([x for _, x in rows]), np.array([y for y, _ in rows])) if rows else None
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, key: str, text: str, level: str) -> DataFrame:
@@ -279,20 +253,18 @@ def reading_levels(docs: DataFrame, labels: DataFrame, key: str, text: str, leve
     ratings of a document the median counts, a half rounded up; null ratings and ratings of unknown documents are ignored. Without
     any rated document every level is null. Empty tables give an empty table.
     """
-    counts = word_counts(docs, text)
-    rarity = -np.log((counts + 1) / (counts.sum() + SLOTS))
-    fitted = fit_levels(docs, labels, key, text, level, rarity)
+    rarity = word_counts(docs, text)
+    model = fit_levels(docs, labels, key, text, level, rarity)
     key_type = docs.schema[key].dataType.simpleString()
     long = spread(docs.select(key, text)).filter(F.char_length(text) >= LEAST_CHARS)
-    if fitted is None:
+    if model is None:
         return long.select(key, F.lit(None).cast("bigint").alias("reading_level"))
-    model, hard = fitted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array([vector(ja, form, rarity[slots_of(rare)], hard[slots_of(graded)]) for ja, form, rare, graded in map(profile, batch.column(1).to_pylist())])
+            x = np.array([vector(t, rarity) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.predict(x), pa.int64())], names=[key, "reading_level"])
 
     return long.mapInArrow(run, f"`{key}` {key_type}, reading_level bigint")

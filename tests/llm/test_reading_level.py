@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from shirabe.llm.reading_level import HALF, Ordinal, profile, reading_levels, vector
+from shirabe.llm.reading_level import HALF, WORD_SHARE, Ordinal, Rarity, profile, prose_of, reading_levels, vector, word_counts
 
 EN = [
     ["The red box ate.", "My dog hid a hat.", "A cat sat by the door."],
@@ -61,8 +61,25 @@ def test_ordinal_orders_levels():
 
 @pytest.mark.parametrize("text", ["", "a", "あ", "|", "```\ncode"])
 def test_profile_shapes(text):
-    ja, form, rare, graded = profile(text)
-    assert vector(ja, form, np.zeros(0), np.zeros(0)).shape == (1 + 2 * HALF + 6,)
+    assert vector(text, Rarity({}, 1)).shape == (1 + 2 * HALF + 4,)
+
+
+def test_words_are_counted_exactly(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(10**9):x}q".translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(500)) + " the café あ漢字" for _ in range(400)]
+    df = spark.createDataFrame([(t, "clash") for t in texts] + [(None, "")], "text string, word string")
+    got = word_counts(df, "text")
+    words = [w for t in texts for w in [*t.split()[:502], "漢字"]]
+    assert got["the"] == got["café"] == got["漢字"] == pytest.approx(-np.log(400 / len(words)))
+    assert len(got) == len(set(words)) <= 1 / WORD_SHARE  # every word of this small corpus is above the share
+    assert got["never"] == -np.log(WORD_SHARE)
+
+
+def test_running_text_goes_before_cells():
+    table = "| Ab | 3.2 | The cat sat down. |\n" * 20
+    assert prose_of(table + "\n" + "A sentence that stands outside of every table and says a good deal more than they do.\n")[1] is False
+    plain, cells = prose_of(table)
+    assert cells and "The cat sat down." in plain and "3.2" not in plain
 
 
 def test_variety_is_of_the_whole_text():
