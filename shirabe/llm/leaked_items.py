@@ -105,7 +105,7 @@ class Index:
     sentences: np.ndarray  # of each sentence: item, number in it, first token in ``flat``, tokens, edits
     bits: np.ndarray  # [walk, step, token]: whether the walk moves on
     mixed: np.ndarray  # a random number for each token
-    tables: list  # for each class of windows: (its first tokens, [(sampled steps, prefix bitmaps, sorted hashes, sentences, offsets)] for each walk)
+    tables: list  # for each class of windows: (its first tokens, [(walk, sampled steps, prefixes, sorted hashes, sentences, offsets)] for each walk)
 
 
 def _allowed(n: int, single: bool) -> int:
@@ -119,11 +119,34 @@ def sampled_steps(kind: int, walk: int) -> list[int]:
     return [0, *sorted(rest.tolist())]
 
 
-def _bitmap(h: np.ndarray) -> np.ndarray:
-    return ((h * _MIX) >> np.uint64(44)).astype(np.int64)
+def _places(h: np.ndarray, size: int) -> np.ndarray:
+    """Places of hashes in a table of ``size``, a power of two."""
+    return ((h * _MIX) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def take_walks(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray | None, bits: np.ndarray, mixed: np.ndarray, steps: Sequence[int], maps: Sequence[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+@dataclass
+class Prefixes:
+    """The hashes of windows so far, as a table of bits; sent as the places that are set and spread out where it is used."""
+
+    size: int
+    places: np.ndarray
+
+    @classmethod
+    def of(cls, h: np.ndarray) -> Prefixes:
+        size = 1 << max(12, (16 * len(h)).bit_length())
+        return cls(size, np.unique(_places(h, size)).astype(np.int32))
+
+    def have(self, h: np.ndarray) -> np.ndarray:
+        if not hasattr(self, "table"):
+            self.table = np.zeros(self.size, bool)
+            self.table[self.places] = True
+        return self.table[_places(h, self.size)]
+
+    def __getstate__(self) -> dict:
+        return {"size": self.size, "places": self.places}
+
+
+def take_walks(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray | None, bits: np.ndarray, mixed: np.ndarray, steps: Sequence[int], maps: Sequence[Prefixes] | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(which starts remain, their hashes, the hashes so far after each sample): one CGK walk from every start.
 
     ends: where a walk must not go beyond (items). maps: prefixes of items' hashes; a walk whose own is in none drops out (documents).
@@ -139,7 +162,7 @@ def take_walks(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray | None, bi
                 live, at, h, token = live[keep], at[keep], h[keep], token[keep]
             h = h * _MIX + mixed[token]
             if maps is not None and n:
-                keep = maps[n][_bitmap(h)]
+                keep = maps[n].have(h)
                 live, at, h, token = live[keep], at[keep], h[keep], token[keep]
             elif maps is None:
                 prefixes.append(h.copy())
@@ -200,9 +223,7 @@ def build_index(ids: Sequence, passages: Sequence[str]) -> Index:
         for w in range(WALKS[c]):
             steps = sampled_steps(c, w)
             live, h, prefixes = take_walks(tokens_flat, starts[own], end[own], bits[w], mixed, steps, None)
-            maps = [np.zeros(1 << 20, bool) for _ in steps]
-            for seen, p in zip(maps, prefixes):
-                seen[_bitmap(p)] = True
+            maps = [Prefixes.of(p) for p in prefixes]
             order = np.argsort(h, kind="stable")
             walks.append((w, steps, maps, h[order], owner[own[live[order]]], offset[own[live[order]]]))
         tables.append((first, walks))
