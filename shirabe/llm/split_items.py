@@ -50,33 +50,36 @@ _ABBREVIATION_BEFORE_LOWER = re.compile(r"(?:^|[\s(\"“‘\[])(?:etc|[ap]\.m|al
 _JAPANESE = re.compile(r"[぀-ヿ一-鿿]")
 _COMPLETE_JA = re.compile(r"(?:ました|ません|ます|です|でした|だった|である|がある|ている|示す|した|する|れる|える|ない|たい|しい|よう)[♪☆]?$")
 _PARTIAL_JA = re.compile(r"(?:と書いた|という)$")
+#: Words that end no sentence: articles, pronouns before a noun, conjunctions, prepositions, auxiliaries.
 _PARTIAL_EN = re.compile(
     r"(?:^|[\s(\"“])(?:the|a|an|one|every|each|any|no|his|her|my|our|your|their|its|this|that|these|those|another|such|which|whose|who|and|or|but|so|if|when|while|because|since|although|after|before|as|"
-    r"of|in|on|at|by|to|for|from|with|within|without|near|behind|beside|across|between|during|under|over|into|through|throughout|than|is|are|was|were|be|not|respect|"
-    r"\w+ed|saw|had|hid|ate|sold|held|kept|gave|got|took|found|put|met|hit|cut|lost|made|read|built|bought|sent|chose|drew|wrote|told|left)$",
+    r"of|in|on|at|by|to|for|from|with|within|without|near|behind|beside|across|between|during|under|over|into|through|throughout|than|is|are|was|were|be|been|not|has|have|had)$",
     re.IGNORECASE,
 )
+_DATA_GOES_ON = re.compile(r"\S{0,40}(?:\s|、|。)")
+_BRACKETED = re.compile(r"[(\"“「『（\[]([^)\"”」』）\]]*)[)\"”」』）\]]\s*(.?)")
+_NAME_LIKE = re.compile(r"[a-z]{1,2}[A-Z]")
 _ENDED = "。．！？♪…‥.!?"
 
 
-def _soft(before: str, after: str) -> bool:
-    """Whether a line break between the line ``before`` (no end mark) and the text ``after`` lies inside a sentence."""
+def _soft(before: str, text: str, at: int) -> bool:
+    """Whether a line break between the line ``before`` (no end mark) and what stands in ``text`` from ``at`` lies inside a sentence."""
     before = before.rstrip()
-    first = after[:1]
+    first = text[at : at + 1]
     if not before or not first:
         return False
-    if len(before) > 40 and not re.search(r"[\s、。]", before) and not re.match(r"\S{0,40}(?:\s|、|。)", after[:41]):
+    if len(before) > 40 and not re.search(r"[\s、。]", before) and not _DATA_GOES_ON.match(text, at):
         return True  # a run of data over several lines
     if before[-1] in ",、，;；:・-–—／/(（「『“":
         return True
     if _JAPANESE.search(before[-3:]):
         return not _COMPLETE_JA.search(before[-8:]) or bool(_PARTIAL_JA.search(before[-6:]))
-    if first in ",.;:!?)）」』、。" or first.islower() and not re.match(r"[a-z]{1,2}[A-Z]", after):
+    if first in ",.;:!?)）」』、。" or first.islower() and not _NAME_LIKE.match(text, at):
         return True
     if _PARTIAL_EN.search(before[-30:]):
         return True
     if first in "(\"“「『（[":
-        inner = re.match(r"[(\"“「『（\[]([^)\"”」』）\]]*)[)\"”」』）\]]\s*(.?)", after)
+        inner = _BRACKETED.match(text, at)
         if inner and (inner[1][:1].islower() or inner[2].islower()):
             return True
     return first in "$€£%" or first.isdigit()
@@ -160,7 +163,7 @@ def natural_boundaries(text: str) -> list[int]:
             if opened >= 0:
                 line = text[text.rfind("\n", 0, at) + 1 : at].rstrip("\r \t　")
                 rest = _SOLID.search(text, end)
-                if rest is None or not _soft(line, text[rest.start() : rest.start() + 200]):
+                if rest is None or not _soft(line, text, rest.start()):
                     opened = -1
         elif kind == "bracket":
             whole = opened < 0
@@ -212,13 +215,17 @@ def landmarks(text: str, window: int = WINDOW, spacing: int = SPACING) -> np.nda
     return np.flatnonzero((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(32) < np.uint64((1 << 32) // spacing)) + window
 
 
-def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> list[int]:
-    """Ends of all pieces but the last. Each piece with its overlap stays within ``limit``; a cut is a natural boundary where one lies in reach."""
+def divide(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> tuple[list[int], np.ndarray, list[int]]:
+    """(natural boundaries, landmarks, cuts) of one text: cuts are the ends of all pieces but the last.
+
+    Each piece with its overlap stays within ``limit``. A landmark in reach snaps to the nearest natural boundary in reach; where there
+    is none, the landmark itself is the cut, and where there is no landmark either, the limit.
+    """
     size = len(text)
     if size <= limit:
-        return []
-    natural = np.array(natural_boundaries(text), np.int64)
-    marks = landmarks(text)
+        return [], np.empty(0, np.int64), []
+    units = natural_boundaries(text)
+    natural, marks = np.array(units, np.int64), landmarks(text)
     out: list[int] = []
     start = 0
     while size - start + (overlap if out else 0) > limit:
@@ -234,26 +241,35 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEA
             cut = int(m[-1]) if len(m) else high
         out.append(cut)
         start = cut
-    return out
+    return units, marks, out
 
 
-def boundaries(df: DataFrame, key: str, text: str, limit: int = LIMIT) -> DataFrame:
-    """(chunk_id, cut_at): the natural boundaries of the texts of more than ``limit`` characters, as the splitter sees them.
+def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> list[int]:
+    return divide(text, limit, overlap, least)[2]
 
-    Null, empty and short texts have no rows; repeated rows give repeated results; a text without any boundary has none.
+
+def divided(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """(key, natural, landmarks, cuts): how every oversized text is divided, from one pass over it; offsets in code points.
+
+    Null, empty and short texts have no rows; repeated rows give repeated results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
         for batch in batches:
-            rows, at = [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                found = natural_boundaries(t)
-                rows += [i] * len(found)
-                at += found
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64())], names=["chunk_id", "cut_at"])
+            rows = [divide(t, limit, overlap, least) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i in range(3))], names=["key", "natural", "landmarks", "cuts"])
 
     key_type = df.schema[key].dataType.simpleString()
-    return spread(df.select(F.col(key), F.col(text))).filter(F.char_length(text) > limit).mapInArrow(run, f"chunk_id {key_type}, cut_at bigint")
+    return spread(df.select(F.col(key), F.col(text))).filter(F.char_length(text) > limit).mapInArrow(run, f"key {key_type}, natural array<bigint>, landmarks array<bigint>, cuts array<bigint>")
+
+
+def boundaries(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """(chunk_id, cut_at): the natural boundaries to which the splitter snaps its landmarks, of the texts of more than ``limit`` characters.
+
+    Null, empty and short texts have no rows; repeated rows give repeated results; a text without any boundary has none.
+    """
+    return divided(df, key, text, limit, overlap, least).select(F.col("key").alias("chunk_id"), F.explode("natural").alias("cut_at"))
 
 
 def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from shirabe.llm.split_items import LIMIT, OVERLAP, boundaries, cuts, natural_boundaries, split_items
+from shirabe.llm.split_items import LIMIT, OVERLAP, boundaries, cuts, divide, landmarks, natural_boundaries, split_items
 
 UNITS = [
     ["The cat sat. ", "Dr. Bo came at 3.5 p.m. with A. Lee (see fig. 2. Really!) today? ", '"Is it done?" he asked. ', "It was... perhaps not. ", "npm runs it! ", "Done."],
@@ -95,3 +95,30 @@ def test_marks_that_never_close_are_plain_text(mark):
     assert len(natural_boundaries(text)) == 42 and text.index("The end") in natural_boundaries(text)
     assert natural_boundaries("It cost (cf. vol.\n3) our ash. The end.") == [30]
     assert len(natural_boundaries('It is 5" wide. ' + LONG_EN + 'One is 7", he said. The end.')) == 42
+
+
+def test_every_cut_is_a_boundary_a_landmark_or_the_limit(spark):
+    """Boundaries and pieces come from one division of each text."""
+    rnd = random.Random(9)
+    words = ["river", "lamp", "quiet", "stone", "bridge", "letter", "harbour", "seven"]
+    texts = [" ".join((" ".join(rnd.choice(words) for _ in range(rnd.randint(3, 14))) + ".").capitalize() for _ in range(90)) for _ in range(20)] + ["x" * 3000, "ab cd " * 700, "（" + "文です。" * 400 + "）"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    natural = {(r["chunk_id"], r["cut_at"]) for r in boundaries(df, "id", "text").collect()}
+    plain = forced = 0
+    for r in split_items(df, "id", "text").collect():
+        if r["piece"] and (r["chunk_id"], r["start_at"]) in natural:
+            plain += 1
+        elif r["piece"]:
+            forced += 1
+            assert r["chunk_id"] >= 20
+            assert r["start_at"] in set(landmarks(texts[r["chunk_id"]]).tolist()) or r["end_at"] - r["start_at"] <= 731
+    assert plain > 100 and forced
+    for i, t in enumerate(texts):
+        units, marks, ends = divide(t)
+        assert {c for k, c in natural if k == i} == set(units) and list(marks) == list(landmarks(t)) and ends == cuts(t)
+
+
+def test_long_brackets_after_a_line_break_and_plain_verbs():
+    inner = "x" * 900
+    assert natural_boundaries(f"The box\n({inner}) is full. Then it closed.") == [len(f"The box\n({inner}) is full. ")]
+    assert natural_boundaries("We walked to the\nriver. Then we left.") == [24]
