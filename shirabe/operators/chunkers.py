@@ -111,17 +111,18 @@ def _lines_within(block: str, size: int) -> Iterator[str]:
 
 
 def _paragraphs_within(text: str, size: int) -> Iterator[str]:
+    """Paragraphs merged up to ``size``. Each counts with the divider after it, but the one that opens a chunk after an overflow without."""
     held: list[str] = []
     used = 0
     for p in _stripped(_BLANK_LINES.split(text)):
-        if held and (len(p) > size or used + len(p) + 2 > size):
+        overflow = bool(held) and (len(p) > size or used + len(p) + 2 > size)
+        if overflow:
             yield "\n\n".join(held)
             held, used = [], 0
         if len(p) > size:
             yield from _lines_within(p, max(1, size))
         else:
-            # the first piece of a chunk opened by an overflow counts without its divider
-            used = used + len(p) + 2
+            used += len(p) if overflow else len(p) + 2
             held.append(p)
     if held:
         yield "\n\n".join(held)

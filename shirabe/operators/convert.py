@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shirabe.operators.html_markdown import convert as html_text
+from shirabe.operators.html_markdown import selector
 from shirabe.operators.transcripts import merge
 from shirabe.sources.files import slides_text
 
@@ -23,7 +24,7 @@ RULE_KEYS = frozenset(("content", "remove"))
 
 
 def site_rules(text: str) -> dict[str, dict[str, list[str]]]:
-    """host -> {content, remove}: selectors from TOML. Other keys, and lists with blank entries, are errors."""
+    """host -> {content, remove}: selectors from TOML. Other keys, blank entries and unreadable selectors are errors."""
     out = {}
     for host, rule in tomllib.loads(text).items():
         if not isinstance(rule, dict) or set(rule) - RULE_KEYS:
@@ -31,6 +32,8 @@ def site_rules(text: str) -> dict[str, dict[str, list[str]]]:
         for selectors in rule.values():
             if not isinstance(selectors, list) or any(not isinstance(s, str) or not s.strip() for s in selectors):
                 raise ValueError(f"blank selector for {host}")
+            for s in selectors:
+                selector(s)  # an unreadable one is an error here, not a page without its rule
         out[host] = rule
     return out
 

@@ -89,23 +89,85 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def _matches(node: Node, selector: str) -> bool:
-    """A simple selector: tag, #id, .class or a tag with one of them."""
-    m = re.fullmatch(r"([a-zA-Z0-9]*)(?:([#.])([\w-]+))?", selector.strip())
-    if not m or (m[1] and m[1].lower() != node.tag):
-        return False
-    if not m[2]:
-        return bool(m[1])
-    return node.attrs.get("id") == m[3] if m[2] == "#" else m[3].lower() in node.classes()
+_SIMPLE = re.compile(r"""([a-zA-Z][\w-]*|\*)|[#]([\w-]+)|[.]([\w-]+)|\[\s*([\w:-]+)\s*(?:([~|^$*]?=)\s*(?:"([^"]*)"|'([^']*)'|([\w-]+)))?\s*\]""")
+_COMPOUND = re.compile(r"""\s*(>?)\s*((?:[^\s>,\["']|\[(?:[^\]"']|"[^"]*"|'[^']*')*\])+)""")
+
+
+def selector(text: str) -> list[list[tuple[str, list[tuple[str, str, str]]]]]:
+    """A CSS selector read: alternatives, each a list of (combinator, tests) from left to right. Tags, ids, classes and attributes in any
+    combination, descendants and children, comma lists. Anything else is a ValueError."""
+    out = []
+    for part in text.split(","):
+        chain, at = [], 0
+        part = part.strip()
+        while at < len(part):
+            m = _COMPOUND.match(part, at)
+            if not m:
+                raise ValueError(f"unreadable selector {text!r}")
+            tests, pos = [], 0
+            while pos < len(m[2]):
+                t = _SIMPLE.match(m[2], pos)
+                if not t or (t[1] and pos):
+                    raise ValueError(f"unreadable selector {text!r}")
+                if t[1]:
+                    tests.append(("tag", t[1].lower(), ""))
+                elif t[2]:
+                    tests.append(("id", t[2], ""))
+                elif t[3]:
+                    tests.append(("class", t[3].lower(), ""))
+                else:
+                    tests.append((t[5] or "has", t[4].lower(), t[6] if t[6] is not None else t[7] if t[7] is not None else t[8] or ""))
+                pos = t.end()
+            chain.append((m[1] or " ", tests))
+            at = m.end()
+        if not chain or chain[0][0] == ">":
+            raise ValueError(f"unreadable selector {text!r}")
+        out.append(chain)
+    return out
+
+
+def _passes(node: Node, tests: list[tuple[str, str, str]]) -> bool:
+    for kind, name, value in tests:
+        if kind == "tag":
+            good = name in ("*", node.tag)
+        elif kind == "id":
+            good = node.attrs.get("id") == name
+        elif kind == "class":
+            good = name in node.classes()
+        else:
+            own = node.attrs.get(name)
+            good = own is not None and (
+                kind == "has" or kind == "=" and own == value or kind == "~=" and value in own.split() or kind == "|=" and (own == value or own.startswith(value + "-"))
+                or bool(value) and (kind == "^=" and own.startswith(value) or kind == "$=" and own.endswith(value) or kind == "*=" and value in own)
+            )
+        if not good:
+            return False
+    return True
+
+
+def matching(root: Node, text: str) -> list[Node]:
+    """The elements under ``root`` that a selector names, in document order."""
+    named: set[int] = set()
+    for chain in selector(text):
+        # for each element: after how many compounds a match may go on below it (any depth, or its children alone)
+        stack: list[tuple[Node, frozenset[int], frozenset[int]]] = [(root, frozenset([0]), frozenset([0]))]
+        while stack:
+            node, deep, direct = stack.pop()
+            reached = {i + 1 for i, (how, tests) in enumerate(chain) if i in (deep if how == " " else direct) and _passes(node, tests)}
+            if len(chain) in reached:
+                named.add(id(node))
+            below = deep | reached
+            stack += [(c, below, frozenset(reached)) for c in node.children if isinstance(c, Node)]
+    return [n for n in root.walk() if id(n) in named]
 
 
 def content_area(root: Node, selectors: Sequence[str] = ()) -> Node:
     nodes = list(root.walk())
     body = next((n for n in nodes if n.tag == "body"), root)
     first = lambda test: next((n for n in nodes if test(n)), None)
-    for s in selectors:
-        found = first(lambda n: _matches(n, s))
-        if found:
+    for s in selectors:  # the first element of a selector counts, and where that is empty the next selector
+        found = next(iter(matching(root, s)), None)
+        if found and found.text().strip():
             return found
     for test in (lambda n: n.tag == "article", lambda n: n.tag == "main", lambda n: n.attrs.get("role") == "main"):
         found = first(test)
@@ -123,9 +185,10 @@ def content_area(root: Node, selectors: Sequence[str] = ()) -> Node:
     return max(boxes, key=lambda n: len(n.text().strip())) if boxes else body
 
 
-def markdown(node: Node, removed: Sequence[str] = ()) -> str:
-    """The Markdown of an element."""
+def markdown(node: Node, removed: Sequence[str] = (), level: int = 0) -> str:
+    """The Markdown of an element, however deeply it is nested. Lists more than 40 levels deep are written as plain blocks."""
     out: list[str] = []
+    gone = {id(n) for s in removed for n in matching(node, s)}
 
     def gap(lines: int = 2) -> None:
         while out and out[-1].strip(" \t") == "":
@@ -135,13 +198,17 @@ def markdown(node: Node, removed: Sequence[str] = ()) -> str:
             held = len(out[-1]) - len(out[-1].rstrip("\n"))
             out.append("\n" * max(0, lines - held))
 
-    def write(n: Node | str, plain: bool = False, depth: int = 0) -> None:
+    stack: list = list(reversed(node.children))  # what is still to be written: texts, elements, and gaps after blocks
+    while stack:
+        n = stack.pop()
         if isinstance(n, str):
-            out.append(n if plain else re.sub(r"\s+", " ", n))
-            return
-        if n.tag in DROPPED or n.tag == "head" or depth > 200 or any(c in DROPPED_CLASSES for c in n.classes()) or any(_matches(n, s) for s in removed):
-            return
-        inner = lambda p=plain: [write(c, p, depth + 1) for c in n.children]
+            out.append(re.sub(r"\s+", " ", n))
+            continue
+        if not isinstance(n, Node):
+            n()
+            continue
+        if n.tag in DROPPED or n.tag == "head" or id(n) in gone or any(c in DROPPED_CLASSES for c in n.classes()):
+            continue
         if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             gap()
             out.append("#" * int(n.tag[1]) + " " + re.sub(r"\s+", " ", n.text()).strip())
@@ -154,11 +221,11 @@ def markdown(node: Node, removed: Sequence[str] = ()) -> str:
             gap()
             out.append("```\n" + n.text().strip("\n") + "\n```")
             gap()
-        elif n.tag in ("ul", "ol"):
+        elif n.tag in ("ul", "ol") and level < 40:
             gap()
-            items = [c for c in n.children if isinstance(c, Node) and c.tag == "li"]
+            items = [c for c in n.children if isinstance(c, Node) and c.tag == "li" and id(c) not in gone]
             for i, item in enumerate(items):
-                out.append((f"{i + 1}. " if n.tag == "ol" else "- ") + re.sub(r"\s+", " ", markdown(item, removed)).strip())
+                out.append((f"{i + 1}. " if n.tag == "ol" else "- ") + re.sub(r"\s+", " ", markdown(item, removed, level + 1)).strip())
                 out.append("\n")
             gap()
         elif n.tag == "table":
@@ -176,15 +243,11 @@ def markdown(node: Node, removed: Sequence[str] = ()) -> str:
             gap()
             out.append("---")
             gap()
-        elif n.tag in _BLOCK:
-            gap()
-            inner()
-            gap()
         else:
-            inner()
-
-    for c in node.children:
-        write(c)
+            if n.tag in _BLOCK:
+                gap()
+                stack.append(gap)
+            stack += reversed(n.children)
     text = "".join(out)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+$", "", text, flags=re.MULTILINE)).strip()
 

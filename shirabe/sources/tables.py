@@ -12,6 +12,10 @@ def file_system(spark: SparkSession, path: str):  # type: ignore[no-untyped-def]
     return kind(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), kind
 
 
+class Busy(RuntimeError):
+    """A table that a batch and a compaction want at one time."""
+
+
 class SegmentedTable:
     """Rows of ``owner`` that are replaced together, kept as one segment for each batch; reading takes each owner's newest segment.
 
@@ -30,10 +34,24 @@ class SegmentedTable:
         return max([int(n[1:]) for n in names if n.startswith("g") and n[1:].isdigit() and fs.exists(path(f"{self.path}/{n}/_done"))], default=0)
 
     def write_batch(self, number: int, rows: DataFrame, touched: DataFrame, generation: int | None = None) -> None:
-        """Segment ``number``: ``rows``, which replace all that the owners in ``touched`` had. The owners come last and make it count."""
-        base = f"{self.path}/g{self._generation() if generation is None else generation}"
-        rows.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
-        touched.select(self.owner).distinct().write.mode("overwrite").parquet(f"{base}/owners/batch={number}")
+        """Segment ``number``: ``rows``, which replace all that the owners in ``touched`` had. The owners come last and make it count.
+
+        A batch and ``compact`` never run together: each puts up its own sign, then looks for the other's. A batch that finds the table
+        being compacted is refused and can be written again later.
+        """
+        fs, path = file_system(self.spark, self.path)
+        sign = path(f"{self.path}/_writing/{number}")
+        if generation is None:
+            fs.create(sign, True).close()
+        try:
+            if generation is None and fs.exists(path(f"{self.path}/_compacting")):
+                raise Busy(f"{self.path} is being compacted")
+            base = f"{self.path}/g{self._generation() if generation is None else generation}"
+            rows.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+            touched.select(self.owner).distinct().write.mode("overwrite").parquet(f"{base}/owners/batch={number}")
+        finally:
+            if generation is None:
+                fs.delete(sign, False)
 
     def read(self) -> DataFrame | None:
         base = f"{self.path}/g{self._generation()}"
@@ -44,14 +62,33 @@ class SegmentedTable:
         return self.spark.read.parquet(f"{base}/rows").join(newest, [self.owner, "batch"]).drop("batch")
 
     def compact(self, number: int) -> None:
-        """All that counts now, as segment ``number`` of the next generation; older generations go."""
-        now, old = self.read(), self._generation()
-        if now is None:
-            return
-        self.write_batch(number, now, now, old + 1)
+        """All that counts now, as segment ``number`` of the next generation; older generations go. Refused while a batch is being written."""
+        fs, path = file_system(self.spark, self.path)
+        sign = path(f"{self.path}/_compacting")
+        fs.create(sign, True).close()
+        try:
+            busy = path(f"{self.path}/_writing")
+            if fs.exists(busy) and len(fs.listStatus(busy)):
+                raise Busy(f"{self.path} is being written to")
+            now, old = self.read(), self._generation()
+            if now is None:
+                return
+            self.write_batch(number, now, now, old + 1)
+            fs.create(path(f"{self.path}/g{old + 1}/_done")).close()
+            fs.delete(path(f"{self.path}/g{old}"), True)
+        finally:
+            fs.delete(sign, False)
+
+    def delete_owners(self, number: int, owners: DataFrame) -> None:
+        """Segment ``number``, in which ``owners`` have no rows."""
+        now = self.read()
+        if now is not None:
+            self.write_batch(number, now.limit(0), owners)
+
+    def clear(self) -> None:
+        """No rows and no segments."""
         fs, path = file_system(self.spark, self.path)
-        fs.create(path(f"{self.path}/g{old + 1}/_done")).close()
-        fs.delete(path(f"{self.path}/g{old}"), True)
+        fs.delete(path(self.path), True)
 
 
 class VersionedTable:
@@ -90,9 +127,10 @@ class VersionedTable:
         return number
 
     def upsert(self, rows: DataFrame, key: str, keep_first: tuple[str, ...] = ()) -> int:
-        """Rows by key: new ones come in, known ones are replaced but for the columns of ``keep_first``; of repeated keys any one counts."""
+        """Rows by key: new ones come in, known ones are replaced but for the columns of ``keep_first``; of repeated keys the greatest row counts."""
         old = self.read()
-        new = rows.dropDuplicates([key])
+        others = [c for c in rows.columns if c != key]
+        new = rows.groupBy(key).agg(F.max(F.struct(*others)).alias("_r")).select(*[key if c == key else F.col(f"_r.{c}").alias(c) for c in rows.columns])
         if old is None:
             return self.write(new)
         o, n = old.alias("o"), new.alias("n")
