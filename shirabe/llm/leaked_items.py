@@ -114,7 +114,7 @@ def _allowed(n: int, single: bool) -> int:
 
 def sampled_steps(kind: int, walk: int) -> list[int]:
     """The steps whose output is sampled: the first, and others up to where a walk has usually passed the class's least length."""
-    last = max(3, CLASSES[kind] * 3 // 2)
+    last = max(3, CLASSES[kind] * 2)
     rest = np.random.default_rng([kind, walk]).choice(np.arange(1, last), min(SAMPLES, last) - 1, replace=False)
     return [0, *sorted(rest.tolist())]
 
@@ -196,7 +196,8 @@ def build_index(ids: Sequence, passages: Sequence[str]) -> Index:
             item.weights.append(weight)
             item.edits.append(edits)
             item.length += sum(map(len, words)) + (0 if item.single else size)
-            for offset in sorted({size * t // (edits + 1) for t in range(edits + 1)}):  # a very short one runs on into the next
+            least = CLASSES[0] if size <= 2 * CLASSES[1] else CLASSES[1] + 2  # the ends of longer sentences are no windows of their own
+            for offset in sorted({t * size // (edits + 1) for t in range(edits + 1) if not t or size - t * size // (edits + 1) >= least}):
                 windows.append((len(sentences), offset, len(flat) + size if size - offset >= CLASSES[0] else stop))
             sentences.append((n, len(item.sentences) - 1, len(flat), size, edits))
             flat += item.sentences[-1]
@@ -206,7 +207,7 @@ def build_index(ids: Sequence, passages: Sequence[str]) -> Index:
     tokens_flat = np.array(flat, np.int32)
     rng = np.random.default_rng(5)
     size = len(vocabulary) + 1
-    most = max(3, CLASSES[-1] * 3 // 2)
+    most = max(3, CLASSES[-1] * 2)
     bits = rng.integers(0, 2, (max(WALKS), most, size), np.int64)
     mixed = rng.integers(0, 1 << 63, size, np.uint64)
     owner, offset, end = np.array(windows, np.int64).reshape(-1, 3).T
