@@ -25,6 +25,14 @@ def tokens(text: Column) -> Column:
     return F.filter(parts, lambda t: (F.char_length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
+def ngram_tokens(text: Column) -> Column:
+    """Tokens for languages without spaces: every two neighbouring characters of a run of kana and kanji, a lone one as it is, and the words of other scripts. Null gives null."""
+    run = "[ぁ-ゖァ-ヺー一-鿿々]+"
+    parts = F.regexp_extract_all(F.lower(text), F.lit(f"{run}|[a-z0-9]+"), F.lit(0))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
+    return F.flatten(F.transform(parts, lambda r: F.when(r.rlike(f"^{run}$"), pairs(r)).otherwise(F.array(r))))
+
+
 def normalise(text: Column) -> Column:
     """No blanks at line ends, no more than one empty line in a row, nothing but text at both ends."""
     return strip(F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"))
