@@ -30,7 +30,7 @@ def _judged(spark: SparkSession, sf: str, n: int = 10, k1: float = bm25.K1, b: f
 
 
 _BARE = "list_distinct(list_transform({c}, lambda s: regexp_replace(s, '/$', '')))"
-_JUDGED = f"""{sql_bm25(_DOCS, _ITEMS)}, top AS (SELECT * FROM (SELECT query_id, doc_id, score, {_rank()} AS rank FROM scored) WHERE rank <= 10), fs AS (SELECT query_id, source, min(rank) AS m FROM top JOIN documents USING (doc_id) GROUP BY 1, 2),
+_JUDGE = f"""top AS (SELECT * FROM (SELECT query_id, doc_id, score, {_rank()} AS rank FROM scored) WHERE rank <= 10), fs AS (SELECT query_id, source, min(rank) AS m FROM top JOIN documents USING (doc_id) GROUP BY 1, 2),
 got AS (SELECT query_id, list(source ORDER BY m, source) AS retrieved FROM fs GROUP BY 1),
 j AS (SELECT item_id AS query_id, {_BARE.format(c="expected_sources")} AS expected, {_BARE.format(c="negative_sources")} AS negative, coalesce(category, 'none') AS category, coalesce(retrieved, []) AS retrieved FROM eval_items LEFT JOIN got ON item_id = query_id),
 c AS (SELECT *, len(list_intersect(retrieved, expected)) AS tp, len(retrieved) AS nr, len(expected) AS ne FROM j),
@@ -39,6 +39,8 @@ s AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1,
   CASE WHEN ne = 0 THEN (CASE WHEN nr = 0 THEN 1.0 ELSE 0.0 END) WHEN least(ne, nr) = 0 THEN 0.0 ELSE list_sum(list_transform(generate_series(1, nr), lambda i: CASE WHEN list_contains(expected, retrieved[i]) THEN 1 / log2(i + 1) ELSE 0.0 END)) / list_sum(list_transform(generate_series(1, least(ne, nr)), lambda i: 1 / log2(i + 1))) END AS ndcg,
   CASE WHEN ne = 0 THEN (CASE WHEN nr = 0 THEN 1.0 ELSE 0.0 END) ELSE coalesce(1.0 / list_min(list_filter(list_transform(generate_series(1, nr), lambda i: CASE WHEN list_contains(expected, retrieved[i]) THEN i END), lambda i: i IS NOT NULL)), 0.0) END AS mrr FROM p),
 t AS (SELECT *, CASE WHEN p = 1 AND r = 1 THEN [] ELSE list_filter([CASE WHEN tp < ne THEN 'retrieval_miss' END, CASE WHEN tp < nr THEN 'retrieval_noise' END, CASE WHEN r > 0 AND r < 1 AND ndcg < 0.5 THEN 'chunk_fragmentation' END, CASE WHEN ne > 0 AND tp = 0 THEN 'query_mismatch' END], lambda x: x IS NOT NULL) END AS tags FROM s)"""
+_JUDGED = f"{sql_bm25(_DOCS, _ITEMS)}, {_JUDGE}"
+GRID = tuple((k1, b) for k1 in (1.5, 2.5) for b in (0.5, 0.75))
 
 
 @query(f"WITH {_JUDGED} SELECT query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM t")
@@ -97,12 +99,14 @@ def depth_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return all_.groupBy("n").agg(F.round(F.avg(f1(p, r)), 4).alias("f1"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT {k1}::DOUBLE AS k1, {b}::DOUBLE AS b, f1 FROM (WITH {sql_bm25(_DOCS, _ITEMS, k1, b)}, {_JUDGE} SELECT round(avg(f1), 4) AS f1 FROM t)" for k1, b in GRID))
 def parameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean F1 for a grid of saturation and length weights: (k1, b, f1)."""
-    out = None
-    for k1 in (1.5, 2.5):
-        for b in (0.5, 0.75):
-            one = score(_judged(spark, sf, 10, k1, b)).agg(F.round(F.avg("f1"), 4).alias("f1")).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "f1")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """Mean F1 for a grid of saturation and length weights: (k1, b, f1). All pairs are scored in one pass over the corpus."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "eval_items")
+    top = bm25.grid_topk(docs, "doc_id", "text", items, "item_id", "query", GRID).join(docs.select("doc_id", "source"), "doc_id")
+    got = top.groupBy("k1", "b", "query_id").agg(F.collect_set("source").alias("got"))
+    grid = spark.createDataFrame(list(GRID), "k1 double, b double")
+    truth = items.select(F.col("item_id").alias("query_id"), F.array_distinct(F.transform("expected_sources", lambda s: F.regexp_replace(s, "/$", ""))).alias("expected"))
+    all_ = truth.crossJoin(F.broadcast(grid)).join(got, ["k1", "b", "query_id"], "left").withColumn("got", F.coalesce("got", F.array().cast("array<string>")))
+    p, r = precision(F.col("got"), F.col("expected")), recall(F.col("got"), F.col("expected"))
+    return all_.groupBy("k1", "b").agg(F.round(F.avg(f1(p, r)), 4).alias("f1"))

@@ -21,12 +21,12 @@ def sql_tokens(text: str) -> str:
     return rf"list_filter(string_split_regex(lower({text}), '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{3000}}\x{{2000}}-\x{{200A}}.,!?、。！？]+'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))"
 
 
-def sql_bm25(docs: str, queries: str) -> str:
+def sql_bm25(docs: str, queries: str, k1: float = bm25.K1, b: float = bm25.B) -> str:
     """CTEs ending in ``scored`` (query_id, doc_id, score); docs: (doc_id, text), queries: (query_id, q)."""
     return f"""d AS ({docs}), dt AS (SELECT doc_id, {sql_tokens("coalesce(text, '')")} AS ts FROM d), st AS (SELECT count(*) AS nd, avg(len(ts)) AS avgdl FROM dt),
     ex AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM dt), tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM ex GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
     q AS ({queries}), qt AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest({sql_tokens("q")}) AS term FROM q) GROUP BY ALL),
-    scored AS (SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(sum(qn * ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf / (tf + {bm25.K1} * (1 - {bm25.B} + {bm25.B} * dl / avgdl))), 6) AS score
+    scored AS (SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(sum(qn * ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))), 6) AS score
       FROM tf JOIN df USING (term) JOIN qt USING (term) CROSS JOIN st GROUP BY 1, 2) WHERE score > 0)"""
 
 
