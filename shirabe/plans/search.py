@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shirabe.functions.text import STOP_WORDS, tokens
 from shirabe.operators import bm25, fusion
+from shirabe.operators.ann import ann_topk
 from shirabe.operators.exact_knn import knn_topk
 from shirabe.plans.registry import Registry
 from shirabe.session import table
@@ -105,6 +106,13 @@ def knn_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return _knn(spark, sf, 10)
 
 
+@query()
+def ann_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """About what ``knn_nearest`` gives, by hashed buckets; the rows with ids divisible by 50 ask all rows."""
+    rows = table(spark, sf, "embeddings")
+    return ann_topk(rows, "vec_id", "embedding", rows.filter(F.col("vec_id") % 50 == 0), "vec_id", "embedding")
+
+
 @query(f"WITH {_KNN} SELECT * FROM (SELECT *, {_rank('distance')} AS rank FROM knn WHERE distance <= 0.5) WHERE rank <= 10")
 def knn_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return _knn(spark, sf, 10, 0.5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -56,6 +56,27 @@ def sidecar_fields(text: str) -> dict[str, str]:
     return out
 
 
+def sidecar_text(fields: Mapping[str, object]) -> str:
+    """A sidecar that ``sidecar_fields`` reads back: one ``key: value`` a line in order, lists with an item a line; nulls are left out."""
+    out = []
+    for k, v in fields.items():
+        if not re.fullmatch(r"[\w$-]+", k):
+            raise ValueError(f"not a key: {k!r}")
+        if isinstance(v, (list, tuple)):
+            out += [f"{k}:", *(f"  - {_quoted(x)}" for x in v)]
+        elif v is not None:
+            out.append(f"{k}: {_quoted(v)}")
+    return "\n".join(out) + "\n" if out else ""
+
+
+def _quoted(v: object) -> str:
+    s = v.isoformat() if hasattr(v, "isoformat") else str(v)
+    if "\n" in s or "\r" in s:
+        raise ValueError("a value holds one line")
+    plain = s == s.strip() and s not in ("", "null", "~") and not s.startswith(("'", '"', "-", "#"))
+    return s if plain else f'"{s}"'
+
+
 def sidecars(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, fields map, error): the fields of each sidecar; an unreadable one has an error instead."""
     kind = df.schema[key].dataType.simpleString()
