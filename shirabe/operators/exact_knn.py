@@ -37,7 +37,7 @@ def knn_topk(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_k
         groups = []  # of each vector length: the length, query ids, unit vectors
         for dim in np.unique(sizes).tolist():
             of_length = part.filter(pa.array(sizes == dim)).combine_chunks()
-            q = np.array(of_length["v"].to_pylist(), np.float64)
+            q = of_length["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             groups.append((dim, of_length["q"].combine_chunks(), q / np.linalg.norm(q, axis=1, keepdims=True)))
 
         def run(batches: Iterator[pa.RecordBatch], groups: list[tuple[int, pa.Array, np.ndarray]] = groups) -> Iterator[pa.RecordBatch]:
