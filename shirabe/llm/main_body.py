@@ -238,7 +238,7 @@ def common_forms(pages: DataFrame, body: str) -> dict[int, float]:
     Copies of one page, but for names and numbers, count once, so that a page that is copied often does not look like a template. The
     counts of all forms at or above SHARE_LEAST add up to no more than all lines, so at most 1 / SHARE_LEAST forms reach the driver.
     """
-    texts = pages.select(F.col(body).alias("b")).filter(F.length("b") > 0)
+    texts = spread(pages.select(F.col(body).alias("b"))).filter(F.length("b") > 0)
     lines = texts.agg(F.sum(F.length("b") - F.length(F.replace("b", F.lit("\n"))) + 1).alias("n")).first()["n"] or 0
     once = texts.select(F.array_distinct(line_forms(F.col("b"))).alias("f")).withColumn("d", F.xxhash64("f")).dropDuplicates(["d"])
     forms = once.select(F.explode("f").alias("h")).filter(F.col("h") != 0).groupBy("h").agg((F.count(F.lit(1)) - 1).alias("n"))
