@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shirabe.functions.filters import parse_filters, where
 from shirabe.operators import chunkers
+from shirabe.operators.extraction import extraction_choice
 from shirabe.plans.registry import Registry
 from shirabe.session import table
 
@@ -25,6 +26,17 @@ def text_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter(n > 0).select("doc_id", *(ratio(p).alias(k) for k, p in _CLASSES.items()))
 
 
+@query(
+    r"""WITH r AS (SELECT doc_id, coalesce(text, '') AS t, regexp_matches(lower(coalesce(title, '')), 'tex|dvips|dvipdfm') AS tex, regexp_matches(lower(coalesce(source, '')), 'cmmi|cmsy|cmex|msam|msbm|stix|cambria math|latin modern math') AS math FROM documents),
+    c AS (SELECT *, greatest(length(t), 1) AS n, len(regexp_extract_all(t, '[\x{FFFD}]')) AS broken, len(regexp_extract_all(t, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]')) AS cjk, len(regexp_extract_all(t, '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]')) AS greek FROM r),
+    w AS (SELECT doc_id, CASE WHEN broken / n > 0.1 THEN 'broken' WHEN cjk / n < 0.05 AND greek / n > 0.15 THEN 'greek' WHEN length(t) < 10 THEN 'empty' WHEN math THEN 'math' WHEN tex THEN 'tex' ELSE 'plain' END AS reason FROM c)
+    SELECT doc_id, CASE WHEN reason = 'plain' THEN 'text' ELSE 'layout' END AS backend, CASE WHEN reason IN ('math', 'tex') THEN 'txt' WHEN reason <> 'plain' THEN 'ocr' END AS mode, reason FROM w"""
+)
+def extraction_choices(spark: SparkSession, sf: str) -> DataFrame:
+    """How each document's text would be taken, were it the text layer of a one-page PDF made by what its title names."""
+    return extraction_choice(table(spark, sf, "documents"), "doc_id", "text", F.col("title"), F.col("source"), F.lit(False))
+
+
 @query("SELECT coalesce(lower(substring(lang, 1, 2)), '?') AS lang, count(*) AS n, sum(length(text))::BIGINT AS chars, sum(strlen(text) + 1)::BIGINT AS tokens, round(sum(strlen(text) + 1) / sum(length(text)), 6) AS ratio, count(*) FILTER (strlen(text) + 1 > 512) AS above_context FROM documents GROUP BY 1")
 def token_ratios(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of the byte-level tokenizer for each character, by language, and how many texts exceed a context of 512."""
