@@ -45,10 +45,10 @@ def url_paths(spark: SparkSession, sf: str) -> DataFrame:
     return _log(spark, sf).select("log_id", P.url_to_path(F.col("url")).alias("path"))
 
 
-@query("SELECT log_id, rtrim(regexp_replace(url, '#.*$', ''), '/') || CASE WHEN regexp_matches(url, '^[a-z]+://[^/]+/?$') THEN '/index' ELSE '' END AS url FROM crawl_log WHERE NOT contains(url, '/?')")
+@query(f"SELECT log_id, lower({_u('url', 1)}) || '://' || {_u('url', 2)} || '/' || coalesce(nullif(trim({_u('url', 3)}, '/'), ''), 'index') || CASE WHEN {_u('url', 4)} = '' THEN '' ELSE '?' || {_u('url', 4)} END AS url FROM crawl_log")
 def path_urls(spark: SparkSession, sf: str) -> DataFrame:
-    """Paths made of URLs give the URLs back, without fragment and outer slashes."""
-    return _log(spark, sf).filter(~F.col("url").contains("/?")).select("log_id", P.path_to_url(P.url_to_path(F.col("url"))).alias("url"))
+    """Paths made of URLs give the URLs back, without fragment and outer slashes; an empty path is ``index``."""
+    return _log(spark, sf).select("log_id", P.path_to_url(P.url_to_path(F.col("url"))).alias("url"))
 
 
 @query(f"SELECT log_id, CASE WHEN p = '' THEN 'index.html' WHEN regexp_matches(p, '(?i)\\.(html|htm|xhtml|shtml|php|asp|aspx|jsp)$') THEN p ELSE p || '.html' END AS file FROM (SELECT log_id, trim({_u('url', 3)}, '/') AS p FROM crawl_log)")
@@ -158,7 +158,12 @@ def journal_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def pages_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return html_to_markdown(_pages(spark, sf).filter(F.col("body").contains("<html")), "filepath", "body")
+    """Every page file as text: HTML as Markdown, other files as they are; blank ones are skipped."""
+    pages = _pages(spark, sf)
+    html = F.coalesce(F.col("body").contains("<html"), F.lit(False))
+    blank = T.strip(F.coalesce("body", F.lit(""))) == ""
+    others = pages.filter(~html).select("filepath", F.when(blank, "skipped").otherwise("ok").alias("status"), F.when(blank, "").otherwise(F.col("body")).alias("text"))
+    return html_to_markdown(pages.filter(html), "filepath", "body").unionByName(others)
 
 
 @query()
