@@ -69,15 +69,22 @@ def crawl_placement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT count(*) FILTER (url IS NOT NULL AND collected_at IS NOT NULL) AS good, count(*) FILTER (url IS NULL OR collected_at IS NULL) AS bad, sum(coalesce(depth, 0))::BIGINT AS depth, count(*) FILTER (coalesce(status, 200) = 200) AS fine FROM crawl_log"
+    """SELECT count(*) FILTER (k = 'line' AND url IS NOT NULL AND collected_at IS NOT NULL) AS good, count(*) FILTER (k = 'cut' OR k = 'line' AND (url IS NULL OR collected_at IS NULL)) AS bad, count(*) FILTER (k = 'blank') AS blank,
+    sum(CASE WHEN k = 'line' THEN coalesce(depth, 0) END)::BIGINT AS depth, count(*) FILTER (k = 'line' AND coalesce(status, 200) = 200) AS fine FROM (SELECT *, CASE WHEN log_id % 7 = 0 THEN 'blank' WHEN log_id % 11 = 0 THEN 'cut' ELSE 'line' END AS k FROM crawl_log)"""
 )
 def crawl_records(spark: SparkSession, sf: str) -> DataFrame:
-    """The log written as JSON lines and read again with its schema, defaults for what may be missing."""
+    """The log as JSON lines, some blank and some cut off, read again with its schema: blank lines are passed over, broken ones counted."""
     line = F.to_json(F.struct("url", "title", "status", "depth", "collected_at", "filepath"))
-    rec = F.from_json("value", "url string, title string, status bigint, depth bigint, collected_at string, filepath string")
-    rows = _log(spark, sf).select(line.alias("value")).select(rec.alias("r")).select("r.*")
-    good = F.col("url").isNotNull() & F.col("collected_at").isNotNull()
-    return rows.agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"), F.sum(F.coalesce("depth", F.lit(0))).alias("depth"), F.count_if(F.coalesce("status", F.lit(200)) == 200).alias("fine"))
+    raw = F.when(F.col("log_id") % 7 == 0, "  ").when(F.col("log_id") % 11 == 0, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line)
+    rec = F.from_json("value", "url string, title string, status bigint, depth bigint, collected_at string, filepath string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    lines = _log(spark, sf).select(raw.alias("value"))
+    rows = lines.select((F.trim("value") == "").alias("blank"), rec.alias("r")).select("blank", "r.*")
+    whole = ~F.col("blank") & F.col("_bad").isNull()
+    good = whole & F.col("url").isNotNull() & F.col("collected_at").isNotNull()
+    return rows.agg(
+        F.count_if(good).alias("good"), F.count_if(~F.col("blank") & ~good).alias("bad"), F.count_if("blank").alias("blank"),
+        F.sum(F.when(whole, F.coalesce("depth", F.lit(0)))).alias("depth"), F.count_if(whole & (F.coalesce("status", F.lit(200)) == 200)).alias("fine"),
+    )
 
 
 _TITLE = "regexp_extract(body, '(?is)<title[^>]*>(.*?)</title>', 1)"
