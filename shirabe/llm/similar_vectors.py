@@ -2,10 +2,11 @@
 
 1. A rotation is learned on a bounded sample (principal axes, then iterative quantisation), so that the signs of a rotated vector
    form a 64-bit code whose Hamming distance follows the angle.
-2. Vectors are routed to leaves of about ``leaf_rows`` rows by a tree of learned directions with thresholds in sparse places. A
-   vector near a threshold goes to the other side as well, but to ``most`` leaves at most in all, however deep the tree is, and it is
-   a query only in its home leaf, so each query ends in one task. Each leaf is a partition of its own. One that turns out larger than
-   planned (the tree is learned on a sample) is divided again in the task that holds it, until its parts are of leaf size.
+2. Vectors are routed to leaves by anchors (means of a few near rows of the sample, several thousand), each of which belongs to a leaf:
+   the home leaf is that of the nearest anchor. A vector near the plane between that anchor and one of another leaf goes there as
+   well, but to ``most`` leaves at most in all, and it is a query only in its home leaf, so each query ends in one task. Each leaf is
+   a partition of its own, of up to WIDE times ``leaf_rows`` rows: few leaves part few neighbours. The task that holds it divides it
+   again in the same way to ``leaf_rows``, with anchors learned from its own rows, which no bounded sample of a large table shows.
 3. In a leaf the codes are split into eight substrings, each indexed. By the pigeonhole principle two codes within Hamming distance
    7 share a substring, so probing the eight tables returns every code of that radius (and most within ``radius``). A query that
    this leaves with fewer than k candidates probes the substrings at distance 1, which covers all codes within 15, then at distance 2,
@@ -28,8 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K, RADIUS, LEAF_ROWS, MARGIN, MOST = 10, 16, 16_384, 0.1, 4
-#: Bounds of the sample that the rotation and the routing tree are fitted on: N / 128 rows, between these.
+#: Bounds of the sample that the rotation and the routing are fitted on: N / 32 rows, between these.
 SAMPLE_LEAST, SAMPLE_MOST = 20_000, 400_000
+#: Routing: anchors a leaf at most, anchors in a cell, cells that are looked through for a row.
+ANCHORS, CELL, PROBES = 256, 16, 48
+#: A leaf that is shuffled holds so many times ``leaf_rows`` at most, and less while there would be fewer than TASKS of them; its task divides it to ``leaf_rows``, knowing all its rows.
+WIDE, TASKS = 8, 32
 #: Decimals of a unit vector's components to which directions count as one, and the share of all rows from which a group of one direction is joined by broadcast (so at most 1 / HOT_SHARE groups are).
 DECIMALS, HOT_SHARE = 5, 1e-4
 _LOW, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
@@ -37,18 +42,18 @@ _LOW, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
 @dataclass
 class Model:
-    """mean and rotation of the codes; the routing tree as arrays (direction, threshold, margin, children; a leaf has child -1, and its number in ``leaf``)."""
+    """mean and rotation of the codes; the routing as arrays: centres of cells of anchors, where each cell's anchors begin, the anchors, the leaf of each; and the margin."""
 
     mean: np.ndarray
     rotation: np.ndarray
-    directions: np.ndarray
-    thresholds: np.ndarray
-    margins: np.ndarray
-    children: np.ndarray
+    centres: np.ndarray
+    begins: np.ndarray
+    anchors: np.ndarray
+    leaf: np.ndarray
+    margin: float
 
     def __post_init__(self) -> None:
-        self.leaf = np.cumsum(self.children[:, 0] < 0) - 1
-        self.leaves = int(self.leaf[-1]) + 1
+        self.leaves = int(self.leaf.max()) + 1
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -69,70 +74,126 @@ def learn_rotation(x: np.ndarray, rounds: int = 20, seed: int = 7) -> tuple[np.n
     return mean, axes @ r
 
 
-def learn_routing(x: np.ndarray, leaf: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A tree over unit rows: each node takes the principal direction and threshold with the fewest rows near it.
-
-    The margin shrinks with the node's spread, so a tight group is split as well, and a level adds about a third of copies at most.
+def _halves(x: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``rows`` by two means, neither side below a quarter of the weight if a row's own weight allows."""
+    s, w = x[rows], weight[rows]
+    some = s[:: -(-len(s) // 4_000)]
+    _, axes = np.linalg.eigh(np.cov((some - some.mean(0)).T))
+    at = (s - np.average(s, axis=0, weights=w)) @ axes[:, -1].astype(s.dtype)
+    for _ in range(7):
+        order = np.argsort(at, kind="stable")
+        upto = np.cumsum(w[order])
+        low, high = np.clip(np.searchsorted(upto, [upto[-1] * 0.25, upto[-1] * 0.75]), 1, len(rows) - 1)
+        cut = int(np.clip(np.searchsorted(at[order], 0), low, high))
+        left, right = order[:cut], order[cut:]
+        a, b = np.average(s[left], axis=0, weights=w[left]), np.average(s[right], axis=0, weights=w[right])
+        at = (s - (a + b) / 2) @ (b - a)
+    return rows[left], rows[right]
+
+
+def _parts(x: np.ndarray, weight: np.ndarray, most: float) -> list[np.ndarray]:
+    """The rows in parts of weight ``most`` at most, halved by two means; rows that are all equal stay together."""
+    parts, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if weight[rows].sum() <= most or len(rows) < 2 or not np.ptp(x[rows], axis=0).any():
+            parts.append(rows)
+        else:
+            todo += _halves(x, weight, rows)[::-1]
+    return parts
+
+
+def _means(x: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The means of the rows of each owner that has any, and their numbers."""
+    count = np.bincount(owner, minlength=n)
+    total = np.stack([np.bincount(owner, x[:, j], n) for j in range(x.shape[1])], axis=1)
+    return (total[count > 0] / count[count > 0, None]).astype(np.float32), count[count > 0]
+
+
+def _lloyd(x: np.ndarray, n: int, rounds: int) -> np.ndarray:
+    """``n`` means of the rows, or fewer."""
+    c = x[np.linspace(0, len(x) - 1, n).astype(int)]
+    for _ in range(rounds):
+        half = (c * c).sum(1) / 2
+        c, _ = _means(x, np.concatenate([(half - x[i : i + 10_000] @ c.T).argmin(1) for i in range(0, len(x), 10_000)]), len(c))
+    return c
+
+
+def _cells(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres of cells of about CELL anchors, the anchors' order by cell, and where each cell begins in it."""
+    centres = _lloyd(anchors, max(1, len(anchors) // CELL), 5)
+    half = (centres * centres).sum(1) / 2
+    of = np.concatenate([(half - anchors[i : i + 10_000] @ centres.T).argmin(1) for i in range(0, len(anchors), 10_000)])
+    return centres, np.argsort(of, kind="stable"), np.searchsorted(np.sort(of), np.arange(len(centres) + 1))
+
+
+def _near(x: np.ndarray, centres: np.ndarray, begins: np.ndarray, anchors: np.ndarray, each: int, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, half its squared distance less a constant of the row) by distance: three times the ``each`` nearest, ``each`` at most from each of the ``probes`` nearest cells (-1, inf where there are fewer)."""
+    probes = min(probes, len(centres))
+    half, own = (centres * centres).sum(1) / 2, (anchors * anchors).sum(1) / 2
+    which, far = np.full((len(x) * probes, each), -1, np.int64), np.full((len(x) * probes, each), np.inf, np.float32)
+    cell = np.empty((len(x), probes), np.int64)
+    for i in range(0, len(x), 10_000):
+        d = half - x[i : i + 10_000] @ centres.T
+        cell[i : i + 10_000] = np.argpartition(d, probes - 1, axis=1)[:, :probes]
+    order = np.argsort(cell.ravel(), kind="stable")
+    start = np.searchsorted(cell.ravel()[order], np.arange(len(centres) + 1))
+    for c in np.flatnonzero(np.diff(start)):
+        a, b = begins[c], begins[c + 1]
+        for i in range(start[c], start[c + 1], 10_000):
+            at = order[i : min(i + 10_000, start[c + 1])]
+            d = own[a:b] - x[at // probes] @ anchors[a:b].T
+            n = min(each, b - a)
+            if n:
+                best = np.argpartition(d, n - 1, axis=1)[:, :n]
+                which[at, :n], far[at, :n] = best + a, np.take_along_axis(d, best, 1)
+    which, far = which.reshape(len(x), -1), far.reshape(len(x), -1)
+    if far.shape[1] > 3 * each:
+        some = np.argpartition(far, 3 * each - 1, axis=1)[:, : 3 * each]
+        which, far = np.take_along_axis(which, some, 1), np.take_along_axis(far, some, 1)
+    order = np.argsort(far, axis=1, kind="stable")
+    return np.take_along_axis(which, order, 1), np.take_along_axis(far, order, 1)
+
+
+def learn_routing(x: np.ndarray, leaf: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Anchors over unit rows, each with the leaf it belongs to: means of a few rows near each other, joined to leaves of ``leaf`` rows at most.
+
+    A leaf is bounded by what lies nearest to its anchors, not by planes through the whole, so that a group of near rows is seldom cut.
     """
-    dirs, ths, margins, kids = [], [], [], []
-
-    def grow(rows: np.ndarray) -> int:
-        at = len(dirs)
-        for a, v in ((dirs, np.zeros(x.shape[1])), (ths, 0.0), (margins, 0.0), (kids, [-1, -1])):
-            a.append(v)
-        if len(rows) <= leaf:
-            return at
-        sub = x[rows] if len(rows) <= 20_000 else x[rows[:: len(rows) // 20_000]]
-        _, axes = np.linalg.eigh(np.cov((sub - sub.mean(0)).T))
-        proj = np.sort(sub @ axes[:, ::-1][:, :24], axis=0)
-        n, best = len(proj), None
-        for a in range(proj.shape[1]):
-            col = proj[:, a]
-            m = min(margin, 0.45 * float(col.std()))
-            if m <= 1e-9:
-                continue
-            t = col[np.linspace(0.2 * n, 0.8 * n - 1, 60).astype(int)]
-            mass = (np.searchsorted(col, t + m) - np.searchsorted(col, t - m)) / n
-            i = int(mass.argmin())
-            if best is None or mass[i] < best[0]:
-                best = (mass[i], a, t[i], m)
-        if best is None:
-            return at
-        direction = axes[:, ::-1][:, best[1]]
-        right = x[rows] @ direction > best[2]
-        if right.all() or not right.any():
-            return at
-        dirs[at], ths[at], margins[at] = direction, best[2], best[3]
-        kids[at] = [grow(rows[~right]), grow(rows[right])]
-        return at
-
-    grow(np.arange(len(x)))
-    return np.array(dirs), np.array(ths), np.array(margins), np.array(kids)
+    x = x.astype(np.float32)
+    if not len(x):
+        x = np.zeros((1, x.shape[1]), np.float32)
+    parts = _parts(x, np.ones(len(x), np.float32), leaf)
+    anchors = np.concatenate([_lloyd(x[rows], min(ANCHORS, -(-len(rows) // 4)), 3) for rows in parts])
+    for _ in range(3):
+        centres, order, begins = _cells(anchors)
+        nearest = np.concatenate([_near(x[i : i + 50_000], centres, begins, anchors[order], 1, 8)[0][:, 0] for i in range(0, len(x), 50_000)])
+        anchors, weight = _means(x, nearest, len(anchors))
+    number = np.empty(len(anchors), np.int64)
+    for n, rows in enumerate(_parts(anchors, weight.astype(np.float32), leaf)):
+        number[rows] = n
+    centres, order, begins = _cells(anchors)
+    return centres, begins, anchors[order], number[order], margin
 
 
 def route(x: np.ndarray, model: Model, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, is home) of unit rows ``x``: one home leaf each, and the nearest further leaves for rows near thresholds, ``most`` in all."""
-    row = np.arange(len(x))
-    node, away = np.zeros(len(x), np.int64), np.zeros(len(x))  # away: squared way across the thresholds passed, -1 at home
-    away -= 1
-    while True:
-        inner = np.flatnonzero(model.children[node, 0] >= 0)
-        if not len(inner):
-            break
-        r, n = row[inner], node[inner]
-        d = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", x[r[i : i + 50_000]], model.directions[n[i : i + 50_000]]) for i in range(0, len(r), 50_000))]) - model.thresholds[n]
-        side = (d > 0).astype(np.int64)
-        node[inner] = model.children[n, side]
-        cross = np.flatnonzero(np.abs(d) <= model.margins[n])
-        row = np.concatenate([row, r[cross]])
-        node = np.concatenate([node, model.children[n[cross], 1 - side[cross]]])
-        away = np.concatenate([away, np.maximum(0, away[inner[cross]]) + d[cross] ** 2])
-        order = np.lexsort((away, row))
-        row, node, away = row[order], node[order], away[order]
-        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
-        keep = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)])) < most
-        row, node, away = row[keep], node[keep], away[keep]
-    return row, model.leaf[node], away < 0
+    """(row, leaf, is home) of unit rows ``x``: the leaf of the nearest anchor, and the leaves of the next ones where the row lies within the margin of the plane between, ``most`` in all."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))]
+    for i in range(0, len(x), 10_000):
+        which, far = _near(x[i : i + 10_000].astype(np.float32), model.centres, model.begins, model.anchors, 4)
+        leaf, a = model.leaf[which], model.anchors
+        far -= far[:, :1]
+        taken = np.full((len(which), most), -1)
+        taken[:, 0], count = leaf[:, 0], np.ones(len(which), np.int64)
+        for j in range(1, which.shape[1]):
+            rows = np.flatnonzero((count < most) & (which[:, j] >= 0) & (far[:, j] <= 2 * model.margin))  # anchors are at most 2 apart
+            rows = rows[(taken[rows] != leaf[rows, j, None]).all(1)]
+            rows = rows[far[rows, j] <= model.margin * np.linalg.norm(a[which[rows, j]] - a[which[rows, 0]], axis=1)]
+            taken[rows, count[rows]] = leaf[rows, j]
+            count[rows] += 1
+        row, place = np.nonzero(taken >= 0)
+        out.append((row + i, taken[row, place], place == 0))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def direction_hash(x: np.ndarray) -> np.ndarray:
@@ -259,12 +320,14 @@ def nearest_in_leaf(x: np.ndarray, home: np.ndarray, model: Model, k: int, radiu
 
 
 def neighbours(x: np.ndarray, home: np.ndarray, model: Model, k: int, radius: int, leaf_rows: int, margin: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, neighbour, cosine) of the home rows of one leaf; one of more than four times ``leaf_rows`` rows is divided again."""
-    if len(x) > 4 * leaf_rows:
-        full = unit(x)
-        tree = Model(model.mean, model.rotation, *learn_routing(full, leaf_rows, margin))
+    """(query, neighbour, cosine) of the home rows of one leaf; one of more than twice ``leaf_rows`` rows is divided by a routing of its own."""
+    if len(x) > 2 * leaf_rows:
+        full = np.concatenate([unit(x[i : i + 50_000]).astype(np.float32) for i in range(0, len(x), 50_000)])
+        learn = full[:: max(1, len(full) // 40_000)]
+        tree = Model(model.mean, model.rotation, *learn_routing(learn, max(1, leaf_rows * len(learn) // len(full)), margin))
         if tree.leaves > 1:
             row, leaf, own = route(full, tree, most)
+            del full, learn
             order = np.lexsort((row, leaf))
             row, leaf, own = row[order], leaf[order], own[order]
             start = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
@@ -286,8 +349,8 @@ def latest_vectors(df: DataFrame, key: str, vector: str, at: str, dim: int) -> D
 
 
 def fit(df: DataFrame, key: str, vector: str, dim: int, rows: int, leaf_rows: int, margin: float) -> Model:
-    """The model from a bounded sample: the ids whose hashes come first, about N / 128 of them within SAMPLE_LEAST and SAMPLE_MOST."""
-    size = min(SAMPLE_MOST, max(SAMPLE_LEAST, rows // 128))
+    """The model from a bounded sample: the ids whose hashes come first, about N / 32 of them within SAMPLE_LEAST and SAMPLE_MOST."""
+    size = min(SAMPLE_MOST, max(SAMPLE_LEAST, rows // 32))
     good = df.filter((F.size(vector) == dim) & F.forall(vector, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(vector, lambda e: e != 0))
     whole = 1 << 63
     upto = -whole + int(2 * whole * min(1.0, size / max(1, rows)))  # so many ids lie below it that about ``size`` are taken
@@ -295,9 +358,10 @@ def fit(df: DataFrame, key: str, vector: str, dim: int, rows: int, leaf_rows: in
     sample = taken.groupBy("h").agg(F.max("v").alias("v")).toArrow().sort_by("h")  # an id once, however often it is repeated
     flat = sample["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if sample.num_rows else np.empty(0)
     x = unit(flat.reshape(-1, dim)) if len(flat) else np.empty((0, dim))
-    x = x[np.sort(np.unique(np.floor(x * 10.0**DECIMALS + 0.5), axis=0, return_index=True)[1])]  # a direction once, as in the leaves
+    x = x[np.sort(np.unique(direction_hash(x), return_index=True)[1])]  # a direction once, as in the leaves
     mean, rotation = learn_rotation(x[:20_000])
-    leaf = max(64, int(len(x) * leaf_rows / max(1, rows)))
+    wide = min(WIDE * leaf_rows, max(leaf_rows, rows // TASKS))
+    leaf = max(64, int(len(x) * wide / max(1, rows)))
     return Model(mean, rotation, *learn_routing(x, leaf, margin))
 
 

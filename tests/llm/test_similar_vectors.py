@@ -132,3 +132,21 @@ def test_few_candidates_widen_the_substrings():
     full = np.round(unit(x) @ unit(x).T, 6)
     np.fill_diagonal(full, -2)
     assert np.mean([len(set(np.argsort(-full[i])[:10]) & set(r[q == i].tolist())) / 10 for i in range(60)]) >= 0.9
+
+
+def test_routing_keeps_neighbours_together_in_large_tables():
+    """Groups that the bounded sample hardly shows, many leaves, leaves that hold several parts: few neighbours are parted, with few copies."""
+    rng = np.random.default_rng(8)
+    centres = unit(rng.normal(size=(1500, 64)))
+    group = np.repeat(np.arange(1500), 40)
+    x = unit(centres[group] + rng.normal(size=(60_000, 64)) * 0.035)
+    model = Model(np.zeros(64), np.eye(64), *learn_routing(x[rng.choice(60_000, 6_000, replace=False)], 60, 0.1))
+    row, leaf, home = route(x, model, 4)
+    own = np.empty(60_000, np.int64)
+    own[row[home]] = leaf[home]
+    there = set(zip(row.tolist(), leaf.tolist()))
+    a = rng.integers(0, 60_000, 4000)
+    b = a // 40 * 40 + rng.integers(0, 40, 4000)
+    assert model.leaves >= 100
+    assert np.mean([(j, own[i]) in there for i, j in zip(a.tolist(), b.tolist())]) >= 0.97
+    assert len(row) <= 2.5 * len(x)
